@@ -6,10 +6,10 @@ each one of its symbols left out, and all pairs under the signature distance mee
 full shingle sets. At a similarity of 0.8 a pair differs in 6.4 symbols on average and in more than DISTANCE once in
 about 8000 cases.
 
-Documents with the same set are one class from the start. Within a file (one key) every class is first held against one
-centre only; the confirmed links make components, and only pairs whose classes are then in different components are
-held against each other, large files in blocks. No link between different components is lost, and groups of copies
-never become all pairs.
+Documents with the same set are one class from the start. Each file (one key) gives a spanning forest of its classes
+that are close, large files in blocks, so the close pairs' components are exact without all pairs being made. The full
+sets of a component's classes then meet once, large components in blocks, and give a spanning forest of the true links.
+No pair under the signature distance is left out, and groups of copies never become all pairs.
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. A row whose id is null is in
 the component of its smallest other id, or of null; it is kept in the latter case only.
 """
@@ -28,8 +28,8 @@ from .common import IS_SPACE, LOWER, cut, flat, mix, pair, slices, span_digests,
 SYMBOLS, CHUNKS, DISTANCE = 32, 8, 15
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 
-#: Classes of one file that are compared in memory at once.
-BLOCK = 1024
+#: Classes, and shingles, of a file or component that a task holds at once; larger ones are dealt to pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Rows of 40 bytes up to which the classes asked for are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -94,7 +94,7 @@ def _file(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, CHUNKS, per).astype(np.uint64)
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS, per).astype(np.uint64)
         keys = np.empty((len(sig), CHUNKS, per), np.uint64)
         for out in range(per):
             x = np.broadcast_to(np.arange(CHUNKS, dtype=np.uint64) * np.uint64(per) + np.uint64(out), sig.shape[:2])
@@ -102,60 +102,108 @@ def _file(batches):
                 if m != out:
                     x = pair(mix(x), sig[:, :, m])
             keys[:, :, out] = x
-        times = CHUNKS * per
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64))] + [pa.array(np.repeat(batch.column(c).to_numpy(), times)) for c in (0, 1)], names=["key", "id", "comp"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), CHUNKS * per))], names=["key", "id"])
 
 
-def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a != b).sum(axis=-1) <= DISTANCE
+class _Forest:
+    """Union-find that keeps the pairs which joined something."""
 
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self.pairs: list[tuple[int, int]] = []
 
-def _near(percent: int):
-    def near(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in (2, 3))
-            n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            keep = pa.array(_close(a, b) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
-            yield batch.select(["a", "b"]).filter(keep)
+    def join(self, i: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            x, y = self.root[i], self.root[j]
+            if x != y:
+                self.root[self.root == y] = x
+                self.pairs.append((i, j))
 
-    return near
 
+def _partners(i: int, p: int, q: int, salt: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Rows that row i is to be held against: later ones, in a pair of blocks those of the other, in another tree."""
+    if p == q:
+        others = np.arange(i + 1, len(salt))
+    elif salt[i] == p:
+        others = np.flatnonzero(salt == q)
+    else:
+        return np.zeros(0, np.int64)
+    return others[root[others] != root[i]]
 
-def _across(percent: int):
-    """Sorted by file and block: pairs under the distance whose components differ."""
 
-    def solve(rows: list) -> tuple[list, list]:
-        ids, comp, n, salt = (np.array([r[i] for r in rows]) for i in (1, 2, 4, 5))
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, SYMBOLS)
-        p, q = rows[0][0][1:]
-        out_a, out_b = [], []
+def _close_pairs(percent: int):
+    def solve(p: int, q: int, rows: list) -> list[tuple[int, int]]:
+        n, salt = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        sig = np.frombuffer(b"".join(r[1] for r in rows), np.uint16).reshape(-1, SYMBOLS)
+        forest = _Forest(len(rows))
         for i in range(len(rows)):
-            if p != q and salt[i] != p:
+            others = _partners(i, p, q, salt, forest.root)
+            near = ((sig[others] != sig[i]).sum(axis=1) <= DISTANCE) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
+            forest.join(i, others[near])
+        return forest.pairs
+
+    return _by_group(solve)
+
+
+def _true_pairs(percent: int):
+    def solve(p: int, q: int, rows: list) -> list[tuple[int, int]]:
+        sets, salt = [np.frombuffer(r[1], np.uint64) for r in rows], np.array([r[3] for r in rows])
+        n = np.array([len(x) for x in sets])
+        forest = _Forest(len(rows))
+        if len(rows) == 2:
+            both = len(np.intersect1d(*sets, assume_unique=True))
+            forest.join(0, np.array([1] if 100 * both >= percent * (n.sum() - both) else [], np.int64))
+            return forest.pairs
+        owner = np.repeat(np.arange(len(rows)), n)
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        holders, first = owner[order], np.searchsorted(number[order], np.arange(number.max(initial=-1) + 2))
+        begin = np.concatenate([[0], np.cumsum(n)])
+        for i in range(len(rows)):
+            others = _partners(i, p, q, salt, forest.root)
+            if not len(others):
                 continue
-            others = np.arange(i + 1, len(rows)) if p == q else np.flatnonzero(salt == q)
-            others = others[comp[others] != comp[i]]
-            ok = others[_close(sig[others], sig[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
-            out_a += np.minimum(ids[ok], ids[i]).tolist()
-            out_b += np.maximum(ids[ok], ids[i]).tolist()
-        return out_a, out_b
-
-    def across(batches):
+            own = number[begin[i] : begin[i + 1]]
+            size = first[own + 1] - first[own]
+            at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            both = np.bincount(holders[at], minlength=len(rows))[others]
+            forest.join(i, others[100 * both >= percent * (n[others] + n[i] - both)])
+        return forest.pairs
+
+    return _by_group(solve)
+
+
+def _by_group(solve):
+    """Rows (g, p, q, id, x, n, salt), sorted by the first three, to pairs of ids: a forest of each group's pairs."""
+
+    def pairs(held: list, g: tuple) -> tuple[list, list]:
+        found = solve(g[1], g[2], held)
+        return [held[i][0] for i, _ in found], [held[j][0] for _, j in found]
+
+    def run(batches):
         held: list = []
+        now = None
         for batch in batches:
-            found: tuple[list, list] = ([], [])
-            for key, p, q, *rest in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if held and held[0][0] != (key, p, q):
-                    for o, v in zip(found, solve(held), strict=True):
-                        o.extend(v)
-                    held = []
-                held.append(((key, p, q), *rest))
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names=["a", "b"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in solve(held)], names=["a", "b"])
+            out: tuple[list, list] = ([], [])
+            for g, p, q, *rest in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if now != (g, p, q):
+                    if len(held) > 1:
+                        for o, v in zip(out, pairs(held, now), strict=True):
+                            o.extend(v)
+                    held, now = [], (g, p, q)
+                held.append(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["a", "b"])
+        if len(held) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in pairs(held, now)], names=["a", "b"])
 
-    return across
+    return run
+
+
+def _in_blocks(rows: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
+    """rows (g, id, x, n) with their group's number of blocks (sizes: g, blocks), once for each pair of blocks they are in."""
+    dealt = rows.join(sizes, "g").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("g", F.least("salt", "other").alias("p"), F.greatest("salt", "other").alias("q"), "id", "x", "n", "salt")
+    return dealt.repartition(n, "g", "p", "q").sortWithinPartitions("g", "p", "q")
 
 
 def _sets(k: int):
@@ -165,25 +213,11 @@ def _sets(k: int):
             found = []
             for i, j in slices(off):
                 found += [s.tobytes() for s in shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(found, pa.binary()), batch.column(3)], names=["g", "id", "x", "n"])
 
     return sets
 
 
-def _confirm(percent: int):
-    def confirm(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return confirm
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable over links (a, b). Labels spread to neighbours and jump to their label's."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -201,18 +235,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, text: str, key: str) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the similarity."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "rep"), "id").select("id", F.col("rep.k").alias("k"), F.col("rep.doc").alias("doc"))
-    asked = cut(asked)
-    if asked.count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    found = docs.select(text_key(F.col(text)).alias("k"), F.col(key).alias("doc_id"), F.col(text).alias("t")).join(asked, "k").where(F.col("doc_id").eqNullSafe(F.col("doc")))
-    sets = found.select("id", "t").mapInArrow(_sets(k), "id long, s binary").groupBy("id").agg(F.first("s").alias("s"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable) and kept for each row of docs.
 
@@ -225,24 +247,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     grouped = signed.where("cls is not null").groupBy("cls").agg(rep.alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     classes = cut(grouped.withColumn("id", F.monotonically_increasing_id()))
 
-    keys = classes.select("id", F.col("id").alias("comp"), "sig").mapInArrow(_file, "key long, id long, comp long").select("key", "id")
-    centre = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    stars = keys.join(centre, "key").where("a != id").select("a", F.col("id").alias("b")).distinct()
-    own = lambda c, s, n: classes.select(F.col("id").alias(c), F.col("sig").alias(s), F.col("n").alias(n))
-    signed_pairs = lambda df: df.join(own("a", "x", "n"), "a").join(own("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_near(percent), "a long, b long")
-    first = cut(_confirmed(cut(signed_pairs(stars)), classes, docs, shingle, percent, text, key))
-    part = components(first)
-
-    placed = cut(classes.join(part, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "sig", "n"))
-    filed = placed.select("id", "comp", "sig").mapInArrow(_file, "key long, id long, comp long")
-    mixed = filed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = filed.select("key", "id").join(mixed, "key").join(placed, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("salt", "other").alias("p"), F.greatest("salt", "other").alias("q"), "id", "comp", "sig", "n", "salt")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    crossing = rows.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_across(percent), "a long, b long").distinct()
-    second = _confirmed(cut(crossing), classes, docs, shingle, percent, text, key)
-    part = components(first.union(second))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    filed = classes.select("id", "sig").mapInArrow(_file, "key long, id long")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    shared = filed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select(F.col("key").alias("g"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    members = filed.join(shared.select(F.col("g").alias("key")), "key").join(classes.select("id", F.col("sig").alias("x"), "n"), "id").select(F.col("key").alias("g"), "id", "x", "n")
+    close = components(_in_blocks(members, shared, parts).mapInArrow(_close_pairs(percent), "a long, b long").distinct())
+
+    asked = cut(close.join(classes, "id").select("id", "comp", "n", F.col("rep.k").alias("k"), F.col("rep.doc").alias("doc")))
+    groups = asked.groupBy(F.col("comp").alias("g")).agg(blocks.alias("blocks"))
+    looked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    found = docs.select(text_key(F.col(text)).alias("k"), F.col(key).alias("doc_id"), F.col(text).alias("t")).join(looked, "k").where(F.col("doc_id").eqNullSafe(F.col("doc")))
+    sets = found.select("id", "t", "comp", "n").mapInArrow(_sets(shingle), "g long, id long, x binary, n long").dropDuplicates(["id"])
+    part = components(_in_blocks(sets, groups, parts).mapInArrow(_true_pairs(percent), "a long, b long").distinct())
 
     comp = classes.join(part, "id", "left").select("cls", F.col("rep.doc").alias("doc"), F.coalesce("comp", "id").alias("comp"))
     smallest = comp.groupBy("comp").agg(F.min("doc").alias("component_id"))

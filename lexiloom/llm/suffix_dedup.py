@@ -24,7 +24,9 @@ from .common import BYTE_RANK, cut, double, flat, mix, pair, partitions, slices,
 
 GRAM = 32
 PAD = 255  # never a byte of UTF-8
-LOCAL_GROUP = 2048  # contexts of one rank that are compared in memory; larger groups are dealt out by window
+#: Contexts of one rank that a task compares in memory; larger groups are dealt out by window.
+LOCAL_GROUP = 16384
+ROWS = 1024  # contexts whose windows are ranked at once
 
 
 def _sliding(f, x: np.ndarray, w: int) -> np.ndarray:
@@ -70,7 +72,7 @@ def _scan(length: int):
         for batch in batches:
             data, off = flat(batch.column(1))
             keys = batch.column(0)
-            for i, j in slices(off):
+            for i, j in slices(off, 1 << 18):
                 seen: dict[bytes, list] = {}
                 for r in range(i, j):
                     k = keys[r].as_py()
@@ -187,7 +189,7 @@ def _solve(length: int):
 
     def local(rows: list) -> tuple[list, list, list]:
         ctx = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-        d = double(BYTE_RANK[ctx], 1, length, axis=1)
+        d = np.concatenate([double(BYTE_RANK[ctx[i : i + ROWS]], 1, length, axis=1) for i in range(0, len(ctx), ROWS)])
         d = pair(d, np.array([r[0] for r in rows], np.int64).view(np.uint64)[:, None])
         # by offset too: a periodic text has one window around several positions, which is not a repetition
         d = pair(d, np.arange(d.shape[1], dtype=np.uint64)[None, :])
@@ -209,7 +211,7 @@ def _solve(length: int):
             found: tuple[list, list, list] = ([], [], [])
             for g, d, k, p, s, ctx in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if s < 0:
-                    if len(held) >= LOCAL_GROUP and held[-1][0] != g:
+                    if len(held) >= ROWS and held[-1][0] != g:
                         yield out(*local(held))
                         held = []
                     held.append((g, d, k, p, ctx))
