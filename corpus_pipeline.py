@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexiloom.llm import decontamination, near_dedup, piece_codec, quality_rules, suffix_dedup
 from lexiloom.llm.common import read
@@ -18,8 +19,8 @@ from lexiloom.llm.queries import piece_model
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules' policy v1 rejects go; null texts have no words and go."""
-    book = quality_rules.ledger(docs.withColumn("__text", docs["text"]), "__text")
-    return quality_rules.apply_policy(book).where("kept").select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__text"))  # clashing names stay apart
+    return quality_rules.apply_policy(quality_rules.ledger(packed, "__text")).where("kept").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
