@@ -4,8 +4,10 @@ The rank of a string is a 64-bit digest, so equal strings share a rank on every
 Ranks double in length from 1 to 32 bytes inside each text. At 32 bytes the corpus is thinned consistently: of the
 ranks inside any window of `length` bytes only the smallest stays (all of them on ties), so two equal windows keep the
 same positions. Spark then sorts the pairs (rank of 32 bytes, rank of the surrounding 2 * length - 32 bytes). A
-position whose rank is unique is dropped; one whose pair occurs twice is past the threshold and is covered whole; the
-rest are ranked again at every offset around the position.
+position whose rank is unique is dropped; one whose pair occurs twice is past the threshold and is covered whole. The
+rest are compared at every offset around the position, in memory where a rank has up to LOCAL_GROUP of them. A hotter
+rank's positions are ranked again by longer strings: the offsets are split into PARTS runs, and the rank of a run is that
+of the bytes which all its windows share. What is still hot is ranked by whole windows.
 
 Nothing is sampled: every window of `length` bytes contains a kept position, and is decided with it.
 Nulls and empty texts have no bytes. Texts shorter than `length` lose nothing. Repeated rows are copies of a text.
@@ -24,8 +26,9 @@ from .common import BYTE_RANK, cut, double, flat, mix, pair, partitions, slices,
 
 GRAM = 32
 PAD = 255  # never a byte of UTF-8
-#: Contexts of one rank that a task compares in memory; larger groups are dealt out by window.
+#: Contexts of one group that a task compares in memory; larger groups are ranked anew by longer strings.
 LOCAL_GROUP = 16384
+PARTS = 8
 ROWS = 1024  # contexts whose windows are ranked at once
 
 
@@ -143,30 +146,52 @@ def _decide(batches):
 CONTEXTS = "g long, d long, k binary, p int, s int, ctx binary"
 
 
+def _parts(length: int) -> list[tuple[int, int]]:
+    """The offsets of the windows around a position, in PARTS runs (first, after last)."""
+    n = length - GRAM + 1
+    w = -(-n // PARTS)
+    return [(a, min(a + w, n)) for a in range(0, n, w)]
+
+
 def _contexts(length: int):
-    """Per text and its undecided positions: the bytes around each, or, for a hot rank, a digest of every window."""
+    """Per text and its undecided positions, by mode: the bytes around each; for a hot rank, the bytes of each run of
+    windows, ranked anew by what all of the run's windows share; for a hot run (`part`), a digest of each window."""
     before, span = length - GRAM, 2 * length - GRAM
+    parts = _parts(length)
+
+    def rank(x: np.ndarray) -> np.uint64:
+        return double(BYTE_RANK[x], 1, len(x))[0]
 
     def emit(batches):
         for batch in batches:
             data, off = flat(batch.column(1))
             cols: tuple[list, ...] = ([], [], [], [], [], [])
+
+            def put(*row):
+                for o, v in zip(cols, row, strict=True):  # noqa: B023
+                    o.append(v)
+
             for r in range(batch.num_rows):
                 key = batch.column(0)[r].as_py()
                 text = np.full(off[r + 1] - off[r] + 2 * length, PAD, np.uint8)
                 text[length:-length] = data[off[r] : off[r + 1]]
                 for x in batch.column(2)[r].as_py():
                     ctx = text[x["p"] + length - before :][:span]
-                    if not x["hot"]:
-                        for o, v in zip(cols, (x["h"], 0, key, x["p"], -1, ctx.tobytes()), strict=True):
-                            o.append(v)
-                        continue
-                    d = double(BYTE_RANK[ctx], 1, length)
-                    e = pair(mix(d ^ np.uint64(x["h"] & (2**64 - 1))), np.arange(len(d), dtype=np.uint64))
-                    ok = (ctx[: len(d)] != PAD) & (ctx[length - 1 :] != PAD)
-                    for s in np.flatnonzero(ok):
-                        for o, v in zip(cols, (int(d[s].view(np.int64)), int(e[s].view(np.int64)), key, x["p"], int(s), None), strict=True):
-                            o.append(v)
+                    if x["part"] >= 0:
+                        lo, hi = parts[x["part"]]
+                        own = ctx[lo : hi - 1 + length]
+                        d = double(BYTE_RANK[own], 1, length)
+                        e = mix(d ^ np.arange(lo, hi, dtype=np.uint64))
+                        ok = (own[: len(d)] != PAD) & (own[length - 1 :] != PAD)
+                        for s in np.flatnonzero(ok):
+                            put(int(d[s].view(np.int64)), int(e[s].view(np.int64)), key, x["p"], PARTS + lo + int(s), None)
+                    elif x["hot"]:
+                        for i, (lo, hi) in enumerate(parts):
+                            shared, own = ctx[hi - 1 : lo + length], ctx[lo : hi - 1 + length]
+                            if shared[0] != PAD and shared[-1] != PAD:
+                                put(int(mix(np.array([rank(shared) ^ np.uint64(i)]))[0].view(np.int64)), int(rank(own).view(np.int64)), key, x["p"], i, own.tobytes())
+                    else:
+                        put(x["h"], 0, key, x["p"], -1, ctx.tobytes())
                 if len(cols[0]) > 20_000:
                     yield _context_rows(cols)
                     cols = ([], [], [], [], [], [])
@@ -180,53 +205,95 @@ def _context_rows(cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, types, strict=True)], names=["g", "d", "k", "p", "s", "ctx"])
 
 
-FOUND = "k binary, lo int, hi int"
+FOUND = "k binary, lo int, hi int, part int"
 
 
-def _solve(length: int):
-    """Sorted by (g, d): which windows around undecided positions occur twice. A position's share is one interval."""
-    before = length - GRAM
+def _solve(length: int, limit: int):
+    """Sorted by (g, d): which windows around undecided positions occur twice. A position's share is one interval.
 
-    def local(rows: list) -> tuple[list, list, list]:
-        ctx = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-        d = np.concatenate([double(BYTE_RANK[ctx[i : i + ROWS]], 1, length, axis=1) for i in range(0, len(ctx), ROWS)])
-        d = pair(d, np.array([r[0] for r in rows], np.int64).view(np.uint64)[:, None])
-        # by offset too: a periodic text has one window around several positions, which is not a repetition
-        d = pair(d, np.arange(d.shape[1], dtype=np.uint64)[None, :])
-        ok = (ctx[:, : d.shape[1]] != PAD) & (ctx[:, length - 1 :] != PAD)
-        _, inverse, count = np.unique(d[ok], return_inverse=True, return_counts=True)
-        twice = np.zeros(d.shape, bool)
-        twice[ok] = count[inverse] > 1
-        hit = np.flatnonzero(twice.any(axis=1))
-        first, last = twice.argmax(axis=1), d.shape[1] - 1 - twice[:, ::-1].argmax(axis=1)
-        return [rows[i][2] for i in hit], [rows[i][3] - before + int(first[i]) for i in hit], [rows[i][3] - before + int(last[i]) + length for i in hit]
-
-    def out(k, lo, hi):
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["k", "lo", "hi"])
+    A run's group with more than `limit` different rows comes back undecided: lo is the position, part the run.
+    """
+    before = length - GRAM
+    parts = _parts(length)
+
+    def local(rows: list, found) -> None:
+        by_size: dict[int, list] = {}
+        for r in rows:
+            by_size.setdefault(len(r[5]), []).append(r)
+        for same in by_size.values():
+            ctx = np.frombuffer(b"".join(r[5] for r in same), np.uint8).reshape(len(same), -1)
+            d = np.concatenate([double(BYTE_RANK[ctx[i : i + ROWS]], 1, length, axis=1) for i in range(0, len(ctx), ROWS)])
+            d = pair(d, np.array([r[0] for r in same], np.int64).view(np.uint64)[:, None])
+            # by offset too: a periodic text has one window around several positions, which is not a repetition
+            d = pair(d, np.arange(d.shape[1], dtype=np.uint64)[None, :])
+            ok = (ctx[:, : d.shape[1]] != PAD) & (ctx[:, length - 1 :] != PAD)
+            _, inverse, count = np.unique(d[ok], return_inverse=True, return_counts=True)
+            twice = np.zeros(d.shape, bool)
+            twice[ok] = count[inverse] > 1
+            first, last = twice.argmax(axis=1), d.shape[1] - 1 - twice[:, ::-1].argmax(axis=1)
+            for i in np.flatnonzero(twice.any(axis=1)):
+                at = same[i][3] - before + (parts[same[i][4]][0] if same[i][4] >= 0 else 0)
+                found(same[i][2], at + int(first[i]), at + int(last[i]) + length)
+
+    def whole(row, found) -> None:
+        """All windows of a run that lie inside the text."""
+        inside = np.flatnonzero(np.frombuffer(row[5], np.uint8) != PAD)
+        at = row[3] - before + parts[row[4]][0]
+        found(row[2], at + int(inside[0]), at + int(inside[-1]) + 1)
 
     def solve(batches):
         held: list = []  # whole groups of contexts, and the one that is not yet complete
-        last = None  # of window digests
+        begin, over = 0, False  # of the current group in held; whether it is past the limit
+        now = last = None  # group; the last row of a run, or of window digests
+
         for batch in batches:
-            found: tuple[list, list, list] = ([], [], [])
-            for g, d, k, p, s, ctx in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if s < 0:
-                    if len(held) >= ROWS and held[-1][0] != g:
-                        yield out(*local(held))
+            cols: tuple[list, ...] = ([], [], [], [])
+
+            def found(k, lo, hi, part=-1, cols=cols):
+                for o, v in zip(cols, (k, lo, hi, part), strict=True):
+                    o.append(v)
+
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                g, d, k, p, s, _ = row
+                if s >= PARTS:
+                    if last and last[:2] == (g, d):
+                        for _, _, kk, pp, ss, _ in ([] if over else [last]) + [row]:
+                            at = pp - before + ss - PARTS
+                            found(kk, at, at + length)
+                        over = True
+                    else:
+                        over = False
+                    last = row
+                    continue
+                if g != now:
+                    if len(held) >= ROWS:
+                        local(held, found)
                         held = []
-                    held.append((g, d, k, p, ctx))
+                    now, begin, over, last = g, len(held), False, None
+                if s >= 0:
+                    if last and last[1] == d:
+                        for x in ([last] if last[4] >= 0 else []) + [row]:
+                            whole(x, found)
+                        last = (g, d, None, 0, -1, None)  # its first row has been told
+                        continue
+                    last = row
+                if over:
+                    found(k, p, 0, s)
                     continue
-                if last and last[:2] == (g, d):
-                    for kk, pp, ss in ([last[2:]] if last[2] else []) + [(k, p, s)]:
-                        for o, v in zip(found, (kk, pp - before + ss, pp - before + ss + length), strict=True):
-                            o.append(v)
-                    last = (g, d, None, 0, 0)
-                else:
-                    last = (g, d, k, p, s)
-            if found[0]:
-                yield out(*found)
+                held.append(row)
+                if s >= 0 and len(held) - begin > limit:
+                    for x in held[begin:]:
+                        found(x[2], x[3], 0, x[4])
+                    held, over = held[:begin], True
+            if cols[0]:
+                yield rows(cols)
         if held:
-            yield out(*local(held))
+            cols = ([], [], [], [])
+            local(held, lambda *row: [o.append(v) for o, v in zip(cols, (*row, -1), strict=True)])
+            yield rows(cols)
+
+    def rows(cols):
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["k", "lo", "hi", "part"])
 
     return solve
 
@@ -278,11 +345,20 @@ def repeated_spans(docs: DataFrame, length: int = 200, texts: bool = False, text
     whole = decided.where("whole").select("k", (F.col("p") - (length - GRAM)).alias("lo"), (F.col("p") + length).alias("hi"))
     open_ = decided.where("not whole").select("h", "k", "p")
     hot = open_.groupBy("h").count().where(F.col("count") > local_group).select("h", F.lit(True).alias("hot"))
-    asked = open_.join(hot, "h", "left").groupBy("k").agg(F.collect_list(F.struct("h", "p", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
+    asked = open_.join(hot, "h", "left").select("k", F.struct("h", "p", F.coalesce("hot", F.lit(False)).alias("hot"), F.lit(-1).alias("part")).alias("x"))
     distinct = source.groupBy("k").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("n"))
-    windows = distinct.join(asked, "k").select("k", "t", "asked", "n").mapInArrow(_contexts(length), CONTEXTS)
-    edges = windows.repartition(n, "g").sortWithinPartitions("g", "d").mapInArrow(_solve(length), FOUND)
-    near = edges.withColumn("at", F.col("hi")).groupBy("k", "lo").agg(F.max("hi").alias("hi")).select("k", "lo", "hi")
+
+    def solved(asked: DataFrame) -> DataFrame:
+        listed = asked.groupBy("k").agg(F.collect_list("x").alias("asked"))
+        windows = distinct.join(listed, "k").select("k", "t", "asked", "n").mapInArrow(_contexts(length), CONTEXTS)
+        return windows.repartition(n, "g").sortWithinPartitions("g", "d").mapInArrow(_solve(length, local_group), FOUND)
+
+    edges = cut(solved(asked))
+    near = edges.where("part < 0")
+    hot_runs = edges.where("part >= 0").select("k", F.struct(F.lit(0).cast("long").alias("h"), F.col("lo").alias("p"), F.lit(True).alias("hot"), "part").alias("x"))
+    if not hot_runs.isEmpty():
+        near = near.union(solved(hot_runs))
+    near = near.groupBy("k", "lo").agg(F.max("hi").alias("hi")).select("k", "lo", "hi")
     spans = whole.union(near).distinct().groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     hit = distinct.join(spans, "k", "left").where("n > 1 or found is not null").select("k", "t", "n", "found")
     return hit.mapInArrow(_finish(length, texts), RESULT)
