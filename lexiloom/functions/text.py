@@ -31,13 +31,13 @@ def decode_text(data: Column) -> Column:
     each = F.greatest(F.length(probe) / 4, F.lit(1))
     text = (
         F.when(data.isNull(), F.lit(None).cast("string"))
-        .when(head.startswith("EFBBBF"), F.decode(F.expr("substring(__d, 4)") if False else F.substring(data, 4, 2**31 - 1), "UTF-8"))
+        .when(head.startswith("EFBBBF"), F.decode(F.substring(data, 4, 2**31 - 1), "UTF-8"))
         .when(head.startswith("FFFE"), F.decode(F.substring(data, 3, 2**31 - 1), "UTF-16LE"))
         .when(head.startswith("FEFF"), F.decode(F.substring(data, 3, 2**31 - 1), "UTF-16BE"))
         .when((F.octet_length(data) >= 4) & (zeros(1) >= 0.2 * each) & (zeros(0) < 0.05 * each), F.decode(data, "UTF-16LE"))
         .when((F.octet_length(data) >= 4) & (zeros(0) >= 0.2 * each) & (zeros(1) < 0.05 * each), F.decode(data, "UTF-16BE"))
         .when(F.is_valid_utf8(data.cast("string")), data.cast("string"))
-        .otherwise(F.decode(data, "windows-1252"))
+        .otherwise(F.translate(F.decode(data, "ISO-8859-1"), "".join(map(chr, range(128, 160))), bytes(range(128, 160)).decode("cp1252", "replace")))
     )
     return normalize_newlines(text)
 

@@ -98,7 +98,7 @@ def pack_lines(text: str, limit: int, repeat: int = 0) -> list[str]:
     """Parts of at most limit characters, each after the first `repeat` lines."""
     if len(text) <= limit:
         return [text]
-    lines = text.splitlines() or [""]
+    lines = re.split(r"\r?\n", text.removesuffix("\n"))
     head = lines[:repeat]
     room = limit - sum(len(x) + 1 for x in head)
     return ["\n".join(head + b) for b in batches_of(lines[repeat:], room, lambda x: len(x) + 1)] or ["\n".join(head)]
@@ -344,7 +344,7 @@ def sentence(blocks: list[Block], style: Style, sentences_per_chunk: int = 3) ->
             flush()
             out.append(_chunk(b.type, b.content, section_heading=p.heading, heading_path=p.path))
         else:
-            units = [x for x in map(str.strip, b.content.splitlines()) if x] if b.type == "bullet_list" else sentences(b.content)
+            units = [x for x in map(str.strip, b.content.split("\n")) if x] if b.type == "bullet_list" else sentences(b.content)
             held += [(s, number, p) for s in units]
         number += 1
     flush()
