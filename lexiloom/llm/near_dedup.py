@@ -219,20 +219,29 @@ def _sets(k: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id reachable over links (a, b). Labels spread to neighbours and jump to their label's."""
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
-    if labels.isEmpty():
-        return labels
-    while True:
-        spread = edges.join(labels.withColumnsRenamed({"id": "b"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        new = labels.join(spread, "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", F.coalesce("m", "comp")).alias("comp"))
-        up = labels.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        new = cut(new.join(up, "comp", "left").select("id", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
-        moved = new.where("old != comp").limit(1).count()
-        labels = new.select("id", "comp")
-        if not moved:
-            return labels
+    """(id, comp): comp is one of the ids reachable over links (a, b), the same for all of them.
+
+    Each round every id moves to the neighbour whose hash is smallest, its own included, and on to where that one moves;
+    links are then drawn between the places moved to. A round leaves at most half of the ids, so all rounds together
+    read and write a small multiple of the links. The rounds' moves are joined at the end, the last and smallest first.
+    """
+    edges = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    moves: list[DataFrame] = []
+    place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    while not edges.isEmpty():
+        first = edges.groupBy(F.col("a").alias("id")).agg(F.min(place("b")).alias("m")).select("id", F.least(place("id"), F.col("m"))["id"].alias("to"))
+        onward = first.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        step = cut(first.join(onward, "to").select("id", F.col("next").alias("to")))
+        moves.append(step)
+        from_, to = (step.select(F.col("id").alias(c), F.col("to").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+        edges = cut(edges.join(from_, "a").join(to, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    if not moves:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("comp")).limit(0)
+    found = moves.pop().withColumnRenamed("to", "comp")
+    while moves:
+        later = found.select(F.col("id").alias("to"), "comp")
+        found = moves.pop().join(later, "to", "left").select("id", F.coalesce("comp", "to").alias("comp"))
+    return cut(found)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
