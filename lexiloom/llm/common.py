@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import tempfile
 
@@ -33,14 +34,33 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, A_Z, a_z)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one process may do without."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexiloom-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the cluster's shared checkpoint folder, so that later reads survive lost executors."""
     sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-ckpt-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(df: DataFrame, total_bytes: int | None = None, per: int = 16 << 20) -> int:
     """Shuffle partitions: the session's number, or more if total_bytes asks for them."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -103,18 +123,6 @@ def double(ranks: np.ndarray, n: int, to: int, axis: int = 0) -> np.ndarray:
     return np.moveaxis(r, -1, axis)
 
 
-_POWER = np.uint64(0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = []
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 22)
-        inverse = np.uint64(pow(int(_POWER), -1, 1 << 64))
-        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, p, np.uint64)]) for p in (_POWER, inverse)]
-    return _powers[0], _powers[1]
-
-
 def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, document) of every maximal run of bytes that are no separators, within documents."""
     gap = np.ones(len(data) + 1, bool)
@@ -132,10 +140,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: Spans up to so many bytes are digested side by side, longer ones by blake2b.
+LANES = 8
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
 def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each byte span, from one running sum of powers."""
-    up, down = _power_table(len(data) + 1)
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_RANK[data] * up[: len(data)], out=run[1:])
-    x = (run[ends] - run[starts]) * down[starts]
-    return mix(x + (ends - starts).astype(np.uint64) * M2)
+    """A 64-bit digest of each byte span: lanes of 8 bytes are taken in one by one, each through a full mix.
+
+    Two different spans share a digest with a chance of 2^-64; no structure of the bytes raises it.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * M2 + M1)
+    open_ = np.flatnonzero(size <= 8 * LANES)
+    at, left = starts[open_], size[open_]
+    while len(open_):
+        out[open_] = mix((out[open_] ^ (lanes[at] & _MASK[np.minimum(left, 8)])) * M1 + M2)
+        more = left > 8
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out

@@ -43,10 +43,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+#: Ids up to which the good documents of op7 are broadcast (8 bytes each, counted first); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target: documents that labels marks as good."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    good = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
+    good = read(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id").distinct().withColumn("good", F.lit(True))
+    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     return lm_scoring.cross_entropy_difference(docs.join(good, "doc_id", "left"), F.col("good"))
 
 
@@ -63,9 +68,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_language_id, op4_quality_rules, op5_quality_model, op6_decontamination, op7_lm_scoring, op8_sentencepiece, op9_near_dedup, op10_sharding)}
-
-
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)

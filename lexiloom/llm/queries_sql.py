@@ -15,7 +15,7 @@ r AS (SELECT *, CASE
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'org/fr/' THEN 'allow'
-    ELSE CASE WHEN host LIKE '%casino%' OR host LIKE '%porn%' OR host LIKE '%xxx%' OR host LIKE '%-bet.%' OR host LIKE '%viagra%' OR path LIKE '/ads/%' OR path LIKE '%.exe' OR path LIKE '%.zip' THEN 'block' ELSE 'allow' END END AS verdict
+    ELSE CASE WHEN host LIKE '%casino%' OR host LIKE '%porn%' OR host LIKE '%xxx%' OR host LIKE '%-bet.%' OR host LIKE '%viagra%' OR path LIKE '%/ads/%' OR path LIKE '%.exe' OR path LIKE '%.zip' THEN 'block' ELSE 'allow' END END AS verdict
 FROM r
 """
 

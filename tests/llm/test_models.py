@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from lexiloom.llm import language_id, lm_scoring, quality_model
-from lexiloom.llm.common import read
+from lexiloom.llm.common import read, span_digests
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -64,31 +64,34 @@ def test_quality_of_odd_texts(spark):
     assert quality_model.score(spark.createDataFrame([], "doc_id long, text string"), quality_model.train([], [])).collect() == []
 
 
-def brute_scores(rows, weight=0.5):
+def brute_models(rows):
+    """For each row its words; the two models as functions (before, word) -> probability; all words."""
     words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t, _ in rows]
-    models = []
-    for chosen in ([w for w, r in zip(words, rows, strict=True) if r[2]], words):
+    everywhere = Counter(w for d in words for w in d)
+    known = {w for w, n in everywhere.items() if n > 1}
+    once = set(everywhere) - known
+
+    def model(chosen, weight=0.5):
         uni = Counter(w for d in chosen for w in d)
-        models.append((uni, Counter(p for d in chosen for p in zip([None, *d], d, strict=False)), sum(1 for d in chosen if d)))
-    everywhere = models[1][0]
-    vocabulary = {w for w, n in everywhere.items() if n > 1}
-    out = []
-    for d in words:
-        if not d:
-            out.append(None)
-            continue
-        loss = []
-        for uni, bi, begun in models:
-            tokens, unknown = sum(uni.values()), sum(n for w, n in uni.items() if w not in vocabulary)
-            total = 0.0
-            for before, w in zip([None, *d], d, strict=False):
-                base = ((uni[w] if w in vocabulary else unknown) + 1) / (tokens + len(vocabulary) + 1)
-                count = begun if before is None else uni[before]
-                seen = w in vocabulary and count > 0 and (before is None or before in vocabulary)
-                total -= math.log(weight * bi[before, w] / count + (1 - weight) * base if seen else base)
-            loss.append(total / len(d))
-        out.append(loss[0] - loss[1])
-    return out
+        bi = Counter(p for d in chosen for p in zip([None, *d], d, strict=False))
+        after = Counter(p[0] for p in bi.elements())
+        total, rare = sum(uni.values()) + len(known) + 1, sum(uni[w] for w in once) + 1
+
+        def probability(before, w):
+            base = (uni[w] + 1) / total if w in known else rare / total / (len(once) + 1)
+            return weight * bi[before, w] / after[before] + (1 - weight) * base if after[before] else base
+
+        return probability
+
+    return words, [model([w for w, r in zip(words, rows, strict=True) if r[2]]), model(words)], everywhere
+
+
+def brute_scores(rows):
+    words, models, everywhere = brute_models(rows)
+    for m in models:  # both sum to 1, with one part for a word never met
+        for before in (None, "w1", "w2", "once"):
+            assert math.isclose(sum(m(before, w) for w in [*everywhere, "never met"]), 1.0)
+    return [None if not d else sum(math.log(models[1](b, w)) - math.log(models[0](b, w)) for b, w in zip([None, *d], d, strict=False)) / len(d) for d in words]
 
 
 @pytest.mark.parametrize("batch_bytes", [300, 1 << 20])
@@ -101,6 +104,25 @@ def test_scores_are_those_of_plain_counts(spark, batch_bytes):
         assert got[i] is None if want is None else got[i] == pytest.approx(want, abs=1e-9), i
 
 
+def test_packed_numbers_come_back():
+    for x in ([], [0], [255, 256, 0], [2**40, 1], [0] * 9):
+        blob = lm_scoring._pack(np.array(x, np.int64))
+        assert lm_scoring._unpack(blob, len(x)).tolist() == x
+
+
+def test_spans_of_equal_digest_are_equal():
+    """Words that differ in structure only: the two complementary Thue-Morse words collide under sums of powers."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024)).encode()
+    spans = [a, a.translate(bytes.maketrans(b"ab", b"ba")), b"", b"\0", b"\0\0", a[:8], a[:9], a[:64], a[:65], a[:64] + b"\0"]
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    ends = np.cumsum([len(s) for s in spans])
+    starts = ends - [len(s) for s in spans]
+    found = span_digests(data, starts, ends)
+    assert len(set(found.tolist())) == len(spans)
+    alone = [span_digests(np.frombuffer(s, np.uint8), np.array([0]), np.array([len(s)]))[0] for s in spans]
+    assert found.tolist() == alone
+
+
 def test_scores_of_odd_texts_and_of_no_texts(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string")
     assert lm_scoring.cross_entropy_difference(docs, F.lit(True)).count() == len(ODD)
