@@ -64,6 +64,26 @@ def test_quality_of_odd_texts(spark):
     assert quality_model.score(spark.createDataFrame([], "doc_id long, text string"), quality_model.train([], [])).collect() == []
 
 
+def test_a_score_is_that_of_the_text_alone(spark):
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    model = quality_model.train(*quality_model.sample(docs, labels, rows=200))
+    texts = [(r["text"] or "").encode() for r in docs.limit(80).collect()] + [b"", b"x", b"xy", b"xyz", "語".encode()]
+
+    def together(chosen):
+        return model.predict(np.frombuffer(b"".join(chosen), np.uint8), np.cumsum([0, *map(len, chosen)]))
+
+    alone = np.concatenate([together([t]) for t in texts])
+    assert together(texts).tolist() == alone.tolist() == together(texts[::-1])[::-1].tolist()
+
+
+def test_contradicting_labels_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i in range(40) for q in ((0, 1) if i % 4 == 0 else (1, 1))] + [(None, 1, 0), (41, None, 0)], "doc_id long, quality int, toxic int")
+    texts, marks = quality_model.sample(docs, labels)
+    want = {f"text {r['doc_id']}".encode() for r in docs.where(quality_model.fold(F.col("doc_id")) != 2).collect() if r["doc_id"] % 4}
+    assert set(texts) == want and set(marks) == {1}
+
+
 def brute_models(rows):
     """For each row its words; the two models as functions (before, word) -> probability; all words."""
     words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t, _ in rows]
