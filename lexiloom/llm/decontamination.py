@@ -4,6 +4,8 @@ An item's windows are its runs of `window` words. Containment must be whole, so
 sufficient prefix: its rarest, by count over all documents. Documents are searched for those shingles only; a find must
 lie so that the window fits into the document (positional and length bounds) and is then compared word by word.
 Null and empty texts have no words. An item of fewer words than a window is one window; an item without words is none.
+Items that repeat are one item by their id; items without an id are searched like others. Repeated documents are
+searched like others and get equal results; columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -34,66 +36,78 @@ def _shingles(array: str, s: int) -> str:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct windows: win (words), items (ids as strings that have it)."""
+    """Distinct windows: win (words), items (structs of the ids, as strings, that have it; an id may be null)."""
     own = items.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     cut_up = F.expr(f"transform(sequence(0, greatest(size(w) - {window}, 0)), i -> slice(w, i + 1, {window}))")
-    return own.select("item", F.explode(cut_up).alias("win")).groupBy("win").agg(F.collect_set("item").alias("items"))
+    return own.select("item", F.explode(cut_up).alias("win")).groupBy("win").agg(F.collect_set(F.struct("item")).alias("items"))
 
 
-def _found(tokens: DataFrame, sought: DataFrame, s: int, known: list[int] | None) -> DataFrame:
-    """(k, h, p) of the sought shingles of s words in tokens (k, w): by constants if known, else by a join."""
-    if known is not None:
-        hits = F.filter(F.transform(F.expr(_shingles("w", s)), lambda h, p: F.struct(h.alias("h"), p.alias("p"))), lambda x: x["h"].isin(known))
-        return tokens.select("k", "w", F.explode(hits).alias("x")).select("k", "w", F.col("x.h").alias("h"), F.col("x.p").alias("p"))
-    narrow = tokens.select("k", F.posexplode(F.expr(_shingles("w", s))).alias("p", "h")).join(sought.select("h"), "h", "left_semi")
-    return tokens.join(narrow.distinct().groupBy("k").agg(F.collect_list(F.struct("h", "p")).alias("x")), "k").select("k", "w", F.inline("x"))
+def _placed(s: int) -> Column:
+    """All shingles of s words of w, as (s, h, p)."""
+    return F.transform(F.expr(_shingles("w", s)), lambda h, p: F.struct(F.lit(s).alias("s"), h.alias("h"), p.alias("p")))
+
+
+def _among(s: int, known: list[int]) -> Column:
+    return F.filter(_placed(s), lambda x: x["h"].isin(known))
+
+
+def _found(tokens: DataFrame, sought: DataFrame, sizes: list[int], inline: int) -> DataFrame:
+    """(k, w, s, h, p): the sought shingles (s words, hash h) at word p of tokens (k, w), in one pass over the texts.
+
+    Up to `inline` of them are looked up as constants, more are joined.
+    """
+    if sought.count() <= inline:
+        by_size: dict[int, list[int]] = {s: [] for s in sizes}
+        for r in sought.collect():  # at most `inline` numbers
+            by_size[r["s"]].append(r["h"])
+        found = [_among(s, known) for s, known in by_size.items() if known] or [F.filter(_placed(1), lambda x: F.lit(False))]
+        return tokens.select("k", "w", F.explode(F.concat(*found)).alias("x")).select("k", "w", "x.s", "x.h", "x.p")
+    narrow = tokens.select("k", F.inline(F.concat(*map(_placed, sizes)))).join(sought, ["s", "h"], "left_semi").distinct()
+    return tokens.join(narrow.groupBy("k").agg(F.collect_list(F.struct("s", "h", "p")).alias("x")), "k").select("k", "w", F.inline("x"))
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", inline: int = INLINE) -> DataFrame:
-    """Per distinct text with hits: k (its 16-byte key), n_hit, spans (start, end in words; merged) and items (sorted ids)."""
+    """Per distinct text with hits: k (its 16-byte key), n_hit, spans (start, end in words; merged), items (sorted ids) and n_items.
+
+    Items without an id are one item more in n_items and hit like others.
+    """
     tokens = docs.select(text_key(F.col(text)).alias("k"), words(F.col(text)).alias("w"))
-    wins = cut(item_windows(items, window))
-    sizes = sorted(r[0] for r in wins.select(F.least(F.size("win"), F.lit(SHINGLE))).distinct().collect())
-    parts = []
-    for s in sizes:
-        own = wins.where(F.least(F.size("win"), F.lit(SHINGLE)) == s)
-        placed = own.select("win", "items", F.posexplode(F.expr(_shingles("win", s))).alias("o", "h"))
-        distinct = cut(placed.select("h").distinct())
-        few = distinct.count() <= inline
-        listed = lambda df, few=few: [r["h"] for r in df.collect()] if few else None  # noqa: E731  at most `inline` numbers
-        rarity = _found(tokens, distinct, s, listed(distinct)).groupBy("h").count()
-        ranked = placed.join(rarity, "h").groupBy("win").agg(F.min(F.struct("count", "o", "h")).alias("x"), F.first("items").alias("items"))
-        # a window with a shingle that no document has can't occur
-        complete = placed.join(rarity, "h", "left_anti").select("win").distinct()
-        prefix = cut(ranked.join(complete, "win", "left_anti").select("win", "items", F.col("x.o").alias("o"), F.col("x.h").alias("h")))
-        sought = prefix.select("h").distinct()
-        around = _found(tokens, sought, s, listed(sought)).select(
-            "k", "h", "p", F.size("w").alias("n"), F.greatest(F.col("p") - window, F.lit(0)).alias("b"), F.expr(f"slice(w, greatest(p - {window}, 0) + 1, {2 * window + SHINGLE})").alias("c")
-        )
-        fits = (F.col("p") >= F.col("o")) & (F.col("p") - F.col("o") + F.size("win") <= F.col("n")) & (F.expr("slice(c, greatest(p - o - b, 0) + 1, size(win))") == F.col("win"))
-        parts.append(around.join(prefix, "h").where(fits).select("k", (F.col("p") - F.col("o")).alias("lo"), (F.col("p") - F.col("o") + F.size("win")).alias("hi"), F.explode("items").alias("item")))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "k binary, n_hit long, spans array<struct<lo:int,hi:int>>, items array<string>")
-    found = parts[0]
-    for x in parts[1:]:
-        found = found.union(x)
-    merge = """aggregate(sort_array(s), cast(array() as array<struct<lo:int,hi:int>>), (a, x) ->
-        if(size(a) > 0 and a[size(a) - 1].hi >= x.lo,
-           concat(slice(a, 1, size(a) - 1), array(struct(a[size(a) - 1].lo as lo, greatest(a[size(a) - 1].hi, x.hi) as hi))),
-           concat(a, array(struct(x.lo as lo, x.hi as hi)))))"""
-    gathered = found.groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("s"), F.sort_array(F.collect_set("item")).alias("items"))
-    return gathered.withColumn("spans", F.expr(merge)).select("k", F.expr("aggregate(spans, 0L, (a, x) -> a + (x.hi - x.lo))").alias("n_hit"), "spans", "items")
+    wins = cut(item_windows(items, window).withColumn("s", F.least(F.size("win"), F.lit(SHINGLE))))
+    sizes = sorted(r[0] for r in wins.select("s").distinct().collect())  # SHINGLE numbers at most
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "k binary, n_hit long, spans array<struct<lo:int,hi:int>>, items array<string>, n_items long")
+    placed = cut(wins.select("win", "items", "s", F.posexplode(F.expr("CASE s " + " ".join(f"WHEN {s} THEN {_shingles('win', s)}" for s in sizes) + " END")).alias("o", "h")))
+    rarity = cut(_found(tokens, placed.select("s", "h").distinct(), sizes, inline).groupBy("s", "h").count())
+    ranked = placed.join(rarity, ["s", "h"], "left").groupBy("win", "s").agg(F.min(F.struct("count", "o", "h")).alias("x"), F.first("items").alias("items"))
+    # a window with a shingle that no document has (its count is null, which sorts first) can't occur
+    prefix = cut(ranked.where("x.count is not null").select("win", "items", "s", "x.o", "x.h"))
+    around = _found(tokens, prefix.select("s", "h").distinct(), sizes, inline).select(
+        "k", "s", "h", "p", F.size("w").alias("n"), F.greatest(F.col("p") - window, F.lit(0)).alias("b"), F.expr(f"slice(w, greatest(p - {window}, 0) + 1, {2 * window + SHINGLE})").alias("c")
+    )
+    fits = (F.col("p") >= F.col("o")) & (F.col("p") - F.col("o") + F.size("win") <= F.col("n")) & (F.expr("slice(c, greatest(p - o - b, 0) + 1, size(win))") == F.col("win"))
+    found = around.join(prefix, ["s", "h"]).where(fits).select("k", (F.col("p") - F.col("o")).alias("lo"), F.size("win").alias("size"), F.explode("items").alias("item"))
+    gathered = found.groupBy("k").agg(F.collect_set(F.struct("lo", "size")).alias("at"), F.collect_set("item").alias("own"))
+    # the words hit, in order; a span begins where the word before is not hit
+    covered = gathered.withColumn("c", F.expr("array_sort(array_distinct(flatten(transform(at, x -> sequence(x.lo, x.lo + x.size - 1)))))"))
+    begins, ends = F.expr("filter(c, (x, i) -> i = 0 OR c[i - 1] < x - 1)"), F.expr("filter(c, (x, i) -> i = size(c) - 1 OR c[i + 1] > x + 1)")
+    return covered.select(
+        "k",
+        F.size("c").cast("long").alias("n_hit"),
+        F.zip_with(begins, ends, lambda x, y: F.struct(x.alias("lo"), (y + 1).alias("hi"))).alias("spans"),
+        F.expr("array_sort(filter(own.item, x -> x IS NOT NULL))").alias("items"),
+        F.size("own").cast("long").alias("n_items"),
+    )
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for every row of docs, as the contract has it."""
     own = docs.select("doc_id", text_key(F.col("text")).alias("k"), F.regexp_count(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
-    joined = own.join(hits(docs, items, window), "k", "left")
-    return joined.select(
+    none = F.lit(0).cast("long")
+    return own.join(hits(docs, items, window), "k", "left").select(
         "doc_id",
         "n_words",
-        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce(F.when(F.col("items").isNotNull(), F.size("items")), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("n_hit", none).alias("n_hit"),
+        F.coalesce("n_items", none).alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"),
     )
