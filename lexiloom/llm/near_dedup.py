@@ -3,15 +3,18 @@
 A signature has SYMBOLS minima of 16 bits. Two signatures that differ in at most DISTANCE symbols have, among CHUNKS
 chunks, one with at most DISTANCE // CHUNKS = 1 differing symbol; a document is therefore filed under each chunk with
 each one of its symbols left out, and all pairs under the signature distance meet. Found pairs are confirmed on the
-full shingle sets. At a similarity of 0.8 a pair differs in 6.4 symbols on average and in more than DISTANCE once in
-about 8000 cases.
+full shingle sets. At a similarity of 0.8 a pair differs in 12.8 of 64 symbols on average and in more than DISTANCE once
+in about 12 million cases (binomial tail 8.2e-8), at a higher similarity far more rarely; that is the only loss.
+
+A shingle is its 64-bit digest, a set the 128-bit digest of its sorted shingles.
 
 Documents with the same set are one class from the start. Each file (one key) gives a spanning forest of its classes
 that are close, large files in blocks, so the close pairs' components are exact without all pairs being made. The full
 sets of a component's classes then meet once, large components in blocks, and give a spanning forest of the true links.
 No pair under the signature distance is left out, and groups of copies never become all pairs.
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. A row whose id is null is in
-the component of its smallest other id, or of null; it is kept in the latter case only.
+the component of its smallest other id, or of null; it is kept in the latter case only. Rows that repeat id and text are
+kept or not together. A very long text is one row of its task. Columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import IS_SPACE, LOWER, cut, flat, mix, pair, slices, span_digests, text_key, word_spans
 
-SYMBOLS, CHUNKS, DISTANCE = 32, 8, 15
+SYMBOLS, CHUNKS, DISTANCE = 64, 16, 31
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 
 #: Classes, and shingles, of a file or component that a task holds at once; larger ones are dealt to pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
-#: Rows of 40 bytes up to which the classes asked for are broadcast; more are joined by a shuffle.
+#: Rows of at most 40 bytes up to which classes asked for and large groups are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -200,8 +203,14 @@ def _by_group(solve):
 
 
 def _in_blocks(rows: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
-    """rows (g, id, x, n) with their group's number of blocks (sizes: g, blocks), once for each pair of blocks they are in."""
-    dealt = rows.join(sizes, "g").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """rows (g, id, x, n) once for each pair of blocks of their group that they are in (sizes: g, blocks; others have one).
+
+    A large group meets in no task: its rows learn their number of blocks from a broadcast before they are dealt.
+    """
+    large = cut(sizes.where("blocks > 1").select("g", "blocks"))
+    looked = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    known = rows.join(looked, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = known.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("g", F.least("salt", "other").alias("p"), F.greatest("salt", "other").alias("q"), "id", "x", "n", "salt")
     return dealt.repartition(n, "g", "p", "q").sortWithinPartitions("g", "p", "q")
 

@@ -6,6 +6,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from lexiloom.llm import near_dedup, suffix_dedup
 
@@ -132,6 +134,35 @@ def test_many_near_copies_in_small_blocks(spark, monkeypatch):
     assert [r["doc_id"] for r in near_dedup.without_near_duplicates(docs).collect()] == [0]
 
 
+def test_pairs_at_the_threshold_are_under_the_signature_distance():
+    """Recall of the signatures: 4000 pairs of sets at a similarity of exactly 0.8."""
+    r = np.random.default_rng(8)
+    far = 0
+    for _ in range(4000):
+        both = r.integers(1, 2**63, 88, dtype=np.uint64)
+        a, b = (near_dedup.signature(np.concatenate([both[:80], x])) for x in (both[80:84], r.integers(1, 2**63, 16, dtype=np.uint64)))
+        far += (a != b).sum() > near_dedup.DISTANCE
+    assert far == 0
+
+
+def test_every_pair_under_the_distance_shares_a_key():
+    r = np.random.default_rng(9)
+    for _ in range(200):
+        a = r.integers(0, 2**16, near_dedup.SYMBOLS).astype(np.uint16)
+        b = a.copy()
+        at = r.choice(near_dedup.SYMBOLS, near_dedup.DISTANCE, replace=False)
+        b[at] ^= 1
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()])], names=["id", "sig"])
+        keys = np.array(next(near_dedup._file([batch])).column(0).to_pylist()).reshape(2, -1)
+        assert (keys[0] == keys[1]).any()
+
+
+def test_words_that_only_differ_in_structure_are_not_linked(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    docs = spark.createDataFrame([(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, "long " * 200_000), (4, "long " * 200_001)], SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, 4).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_repeated_and_missing_ids(spark):
     text = "one text of some words that is given more than once here"
     docs = spark.createDataFrame([(None, text), (7, text), (7, text), (None, "another text that nothing else is like"), (8, None)], SCHEMA)
