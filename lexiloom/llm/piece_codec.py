@@ -3,9 +3,10 @@
 Text is cut where no piece can cross: before runs of the space mark and before line feeds. Each distinct unit is
 encoded once: its adjacent symbol pairs are an agenda ordered by score, then place, from which the best is merged until
 none is left. The agendas of all new units of an Arrow batch run at once, as rows of a matrix; long units have a heap.
-New units, and the first text of each batch, are checked against the sentencepiece library; where it differs (never
-seen) its answer is taken and counted.
-A null text is empty and has no ids.
+Every new unit, and the first text of each slice of a batch, is checked against the sentencepiece library; differences
+are counted in `differs` and never mended: the result is always the agenda's own.
+A null text is empty and has no ids. Repeated rows are coded alike; a text of any length is coded whole. Columns of
+other names are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ class Codec:
         self.piece = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         self.byte = {int(self.piece[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
+        self.bytes = frozenset(self.byte.values())
+        self.digits = [str(i) for i in range(n)]
+        self.plain_text = [p.replace(MARK, " ") for p in self.piece]
         self.unknown = sp.unk_id()
         if any(MARK in self.piece[i].lstrip(MARK) or "\n" in self.piece[i] for i in plain):
             raise ValueError("a piece crosses the places where text is cut")
@@ -119,8 +123,8 @@ class Codec:
                 push(before[i], i)
         return [x for x in s if x is not None]
 
-    def _rows(self, units: list[str]) -> list[list]:
-        """The same for many units of one length, side by side."""
+    def _rows(self, units: list[str]) -> list[list[int]]:
+        """The ids of many units of one length, side by side."""
         width = len(units[0])
         get = self.symbol.get
         odd: dict[str, int] = {}  # characters that no piece has: negative numbers
@@ -128,7 +132,7 @@ class Codec:
         rank, merged = np.full((len(units), width), self.NONE, np.int32), np.zeros((len(units), width), np.int32)
         r, m = self._rank(s[:, :-1].ravel(), s[:, 1:].ravel())
         rank[:, :-1], merged[:, :-1] = r.reshape(-1, width - 1), m.reshape(-1, width - 1)
-        live = np.arange(len(units))
+        live, size = np.arange(len(units)), np.full(len(units), width)
         while len(live):
             part = rank[live]
             best = part.argmin(axis=1)
@@ -137,6 +141,7 @@ class Codec:
             if not len(live):
                 break
             s[live, best] = merged[live, best]
+            size[live] -= 1
             # close the gap
             col = np.arange(width - 1)[None, :]
             gap = col > best[:, None]
@@ -151,7 +156,8 @@ class Codec:
                 r, m = self._rank(s[rows, c], s[rows, c + 1])
                 rank[rows, c], merged[rows, c] = r, m
         back = {v: k for k, v in odd.items()}
-        return [[back.get(x, x) for x in row if x != -1] for row in s.tolist()]
+        simple = ((s < len(self.piece)) & (s >= -1)).all(axis=1).tolist()  # all symbols are pieces
+        return [row[:k] if x else self._ids([back.get(v, v) for v in row[:k]]) for row, k, x in zip(s.tolist(), size.tolist(), simple, strict=True)]
 
     def _ids(self, symbols: list) -> list[int]:
         out: list[int] = []
@@ -166,17 +172,18 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The pieces' text, runs of byte pieces as UTF-8, space marks as spaces; the first mark is not removed."""
+        if self.bytes.isdisjoint(ids):
+            return "".join([self.plain_text[i] for i in ids])
         out, held = [], bytearray()
         for i in ids:
-            p = self.piece[i]
-            if self.library.is_byte(i):
-                held.append(int(p[3:5], 16))
+            if i in self.bytes:
+                held.append(int(self.piece[i][3:5], 16))
                 continue
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held = bytearray()
-            out.append(p)
-        return ("".join(out) + held.decode("utf-8", "replace")).replace(MARK, " ")
+            out.append(self.plain_text[i])
+        return "".join(out) + held.decode("utf-8", "replace").replace(MARK, " ")
 
     def learn(self, units: list[str]) -> None:
         """Encode new units."""
@@ -186,13 +193,11 @@ class Codec:
         for length, group in by_length.items():
             for i in range(0, len(group), 20_000):
                 part = group[i : i + 20_000]
-                rows = [self._heap(u) for u in part] if length > LONG or length == 1 or len(part) < 4 else self._rows(part)
-                ids = [self._ids(x) for x in rows]
+                ids = [self._ids(self._heap(u)) for u in part] if length > LONG or length == 1 or len(part) < 4 else self._rows(part)
+                digits = self.digits
                 for u, own, told in zip(part, ids, self._told(part), strict=True):
-                    if own != told:
-                        self.differ += 1
-                        own = told
-                    self.known[u] = [",".join(map(str, own)), self.decode(own), 0]
+                    self.differ += own != told
+                    self.known[u] = [",".join([digits[i] for i in own]), self.decode(own), 0]
 
     def _told(self, units: list[str]) -> list[list[int]]:
         """The library's ids for units: it puts a mark before a text, which units that start with one have."""
@@ -246,11 +251,10 @@ def _run(path: str, texts: bool):
                 while j < len(body) and (j == i or size + len(body[j]) <= 2 << 20):
                     size += len(body[j])
                     j += 1
+                before = codec.differ
                 rows = codec.encode(body[i:j])
-                own, differ = [int(x) for x in rows[0][1].split(",")] if rows[0][1] else [], 0
-                told = codec.library.encode(body[i], num_threads=1)
-                if own != told or codec.library.decode(told) != rows[0][2]:
-                    rows[0], differ = (len(told), ",".join(map(str, told)), codec.library.decode(told)), 1
+                own = [int(x) for x in rows[0][1].split(",")] if rows[0][1] else []
+                differ = codec.differ - before + (own != codec.library.encode(body[i], num_threads=1)) + (codec.library.decode(own) != rows[0][2])
                 sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
                 columns = [
                     batch.column(0).slice(i, j - i),
@@ -272,6 +276,8 @@ def _run(path: str, texts: bool):
 def transcode(docs: DataFrame, model_path: str, texts: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and differs for each row of docs; with texts also ids and decoded.
 
+    differs: on the first row of a slice, the number of new units and of whole texts that the library codes otherwise.
+
     model_path: a SentencePiece model of type BPE at the same place on every executor.
     """
     source = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))

@@ -20,7 +20,7 @@ ODD = [None, "", " \n\t ", "a", "é" * 50, "word " * 20_000, "# $ % & | < > *",
 
 URLS = [
     None, "", "no scheme", "http://Example.NET/en/a", "https://example.net/de/", "http://a.b.example.com/de/x?q#f", "http://example.com", "http://notexample.com/de/", "ftp://x.org/fr/", "x://y.org/en/",
-    "http://casino.org/fr/", "http://casino.info/", "http://a.info/ads/x", "http://a.info/x.exe", "http://a.info/x.exe?y", "://net/", "http://net", "http://NET/#", "a://b://c.net/", "http://ü.net/é", "http://a.com/" + "x" * 5000,
+    "http://casino.org/fr/", "http://casino.info/", "http://a.info/ads/x", "http://a.info/x/ads/y", "http://a.info/x/ads/y", "http://a.info/ads", "http://b.info/" + "y" * 300_000 + "/ads/", "http://a.info/x.exe", "http://a.info/x.exe?y", "://net/", "http://net", "http://NET/#", "a://b://c.net/", "http://ü.net/é", "http://a.com/" + "x" * 5000,
 ]
 
 
@@ -98,7 +98,7 @@ def leaks(texts, items):
     for i, t in items:
         w = split(t)
         for k in range(max(len(w) - 10, 0) + 1 if w else 0):
-            wins[tuple(w[k : k + 10])].add(str(i))
+            wins[tuple(w[k : k + 10])].add(i)
     out = []
     for t in texts:
         w, hit, found = split(t), set(), set()
@@ -107,7 +107,7 @@ def leaks(texts, items):
                 if (own := wins.get(tuple(w[k : k + size]))) is not None:
                     hit |= set(range(k, k + size))
                     found |= own
-        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(str(i) for i in found if i is not None)).encode()).hexdigest(), bool(hit)))
     return out
 
 
@@ -116,16 +116,18 @@ def test_benchmark_windows_are_found_wherever_they_stand(spark, inline):
     r = random.Random(3)
     words = [f"v{i}" for i in range(40)] + ["Über", "the", "a"]
     text = lambda n: " ".join(r.choice(words) for _ in range(n))
-    items = [(1, text(30)), (2, text(12)), (3, text(10)), (4, "only four words here"), (5, "solo"), (6, None), (7, "..."), (None, text(11)), (3, text(15)), (9, "two words")]
-    texts = [*ODD, "solo", "Only FOUR, words here!", items[0][1], items[1][1].replace(" ", "--"), text(5) + " " + items[0][1] + " " + text(3) + " " + items[2][1], *(text(r.randint(0, 40)) for _ in range(20))]
+    items = [(1, text(30)), (2, text(12)), (3, text(10)), (4, "only four words here"), (5, "solo"), (6, None), (7, "..."), (None, text(11)), (3, text(15)), (9, "two words"), (None, "nameless"), (9, "two words")]
+    texts = [*ODD, "solo", "Solo nameless here", "solo " + "filler " * 30_000 + items[1][1], items[7][1], items[7][1] + " " + items[1][1] + " " + items[1][1], "Only FOUR, words here!", items[0][1], items[1][1].replace(" ", "--"), text(5) + " " + items[0][1] + " " + text(3) + " " + items[2][1], *(text(r.randint(0, 40)) for _ in range(20))]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, k string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     known = [(i, t) for i, t in items if i is not None]
-    found = decontamination.hits(docs, bench.where("item_id is not null"), inline=inline)
-    got = {bytes(x["k"]): (x["n_hit"], len(x["items"])) for x in found.collect()}
-    want = leaks(texts, known)
+    found = decontamination.hits(docs, bench, inline=inline)
+    rows = {bytes(x["k"]): x for x in found.collect()}
+    got = {k: (x["n_hit"], x["n_items"]) for k, x in rows.items()}
+    assert all(sum(s["hi"] - s["lo"] for s in x["spans"]) == x["n_hit"] and all(a["hi"] < b["lo"] for a, b in zip(x["spans"], x["spans"][1:], strict=False)) for x in rows.values())
+    want = leaks(texts, items)
     assert got == {hashlib.md5((t or "").encode()).digest(): w[1:3] for t, w in zip(texts, want, strict=True) if w[1]}
-    report = {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in decontamination.report(docs, bench.where("item_id is not null")).collect()}
+    report = {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in decontamination.report(docs, bench).collect()}
     assert report == dict(enumerate(want))
 
 
@@ -143,6 +145,15 @@ def test_decontamination_of_empty_tables(spark):
 PIECES = [*ODD, "▁", "▁▁ a", " lead", "trail ", "  two  spaces", "naïve café — 漢字かな 🙂👩‍👩‍👧", "a\nb\n\n c", "x" * 3000, "٣٤ عربي", "\u00a0\u2003", "abc▁def", "<s> </s> <unk> <0x41>", "é" * 3 + "e\u0301", "\ud7ff\U0010ffff"]
 
 
+def test_a_wrong_agenda_is_told_and_not_mended():
+    codec = piece_codec.Codec(piece_model())
+    unit = codec.piece[codec.merge[next(iter(codec.merge))][1]]
+    codec.merge.clear()
+    codec.learn(["▁" + unit.lstrip("▁") + "abc" * 10])
+    assert codec.differ == 1
+    assert len(next(iter(codec.known.values()))[0].split(",")) > 20
+
+
 def test_ids_and_text_are_the_librarys(spark):
     import sentencepiece
 
@@ -157,6 +168,8 @@ def test_ids_and_text_are_the_librarys(spark):
         assert got[i]["decoded"] == library.decode(ids), t
         assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert sum(x["differs"] for x in got.values()) == 0
+    copies = docs.union(docs).union(docs.where("doc_id % 3 = 0"))
+    assert {tuple(x) for x in piece_codec.transcode(copies, piece_model()).drop("differs").collect()} == {tuple(x) for x in piece_codec.transcode(docs, piece_model()).drop("differs").collect()}
     assert piece_codec.transcode(docs.limit(0), piece_model()).collect() == []
 
 
