@@ -190,7 +190,7 @@ def vocabulary(source: DataFrame) -> dict[str, int]:
     return {k: v or 0 for k, v in row.asDict().items()}
 
 
-def cross_entropy_difference(docs: DataFrame, target: Column, batch_bytes: int = 8 << 20, weight: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: Column, batch_bytes: int = 4 << 20, weight: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, in_target, loss_target, loss_background (nats a token) and score for each row of docs.
 
     target: a boolean column of docs, null is false. batch_bytes: text of a batch. weight: of pairs against words.
@@ -199,7 +199,7 @@ def cross_entropy_difference(docs: DataFrame, target: Column, batch_bytes: int =
     total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     facts = vocabulary(source)
     n = max(1, -(-total // batch_bytes))
-    buckets = partitions(docs, total)
+    buckets = partitions(docs, total, 8 << 20)
     dealt = source.withColumn("b", F.pmod(F.xxhash64("doc_id", "t"), F.lit(n)).cast("int")).repartition(partitions(docs, total), "b")
     counted = dealt.groupBy("b").applyInArrow(_count(buckets), COUNTED)
     sums = counted.groupBy("bucket").applyInArrow(_sum(buckets), SUMMED)
