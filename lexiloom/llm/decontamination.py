@@ -42,74 +42,101 @@ def item_windows(items: DataFrame, window: int = WINDOW, item: str = "item_id",
     return own.select("item", F.explode(cut_up).alias("win")).groupBy("win").agg(F.collect_set(F.struct("item")).alias("items"))
 
 
-def _placed(s: int) -> Column:
-    """All shingles of s words of w, as (s, h, p)."""
-    return F.transform(F.expr(_shingles("w", s)), lambda h, p: F.struct(F.lit(s).alias("s"), h.alias("h"), p.alias("p")))
+def _with_words(body: str) -> Column:
+    """An expression over the words w, held in a lambda's variable: the optimiser can't make them anew at each use."""
+    return F.expr(f"transform(array(w), w -> {body})")[0]
 
 
-def _among(s: int, known: list[int]) -> Column:
-    return F.filter(_placed(s), lambda x: x["h"].isin(known))
+def _placed(sizes: list[int]) -> Column:
+    """All shingles of w of so many words, as (s, h, p)."""
+    each = [f"transform({_shingles('w', s)}, (h, p) -> struct({s} as s, h as h, p as p))" for s in sizes]
+    return _with_words(f"concat({', '.join(each)})")
 
 
-def _found(tokens: DataFrame, sought: DataFrame, sizes: list[int], inline: int) -> DataFrame:
-    """(k, w, s, h, p): the sought shingles (s words, hash h) at word p of tokens (k, w), in one pass over the texts.
+def _among(by_size: dict[int, list[int]]) -> Column:
+    def known(x: Column) -> Column:
+        found = F.lit(False)
+        for s, hashes in by_size.items():
+            found = found | ((x["s"] == s) & x["h"].isin(hashes))
+        return found
 
-    Up to `inline` of them are looked up as constants, more are joined.
+    return F.filter(_placed(list(by_size)), known)
+
+
+def _found(texts: DataFrame, sought: DataFrame, sizes: list[int], inline: int) -> DataFrame:
+    """texts (w and others) with x: the sought shingles (s words, hash h) in w, each at word p. One pass over the texts.
+
+    Up to `inline` of them are looked up as constants; more are joined, and texts then need a column k that is a key of w.
     """
     if sought.count() <= inline:
         by_size: dict[int, list[int]] = {s: [] for s in sizes}
         for r in sought.collect():  # at most `inline` numbers
             by_size[r["s"]].append(r["h"])
-        found = [_among(s, known) for s, known in by_size.items() if known] or [F.filter(_placed(1), lambda x: F.lit(False))]
-        return tokens.select("k", "w", F.explode(F.concat(*found)).alias("x")).select("k", "w", "x.s", "x.h", "x.p")
-    narrow = tokens.select("k", F.inline(F.concat(*map(_placed, sizes)))).join(sought, ["s", "h"], "left_semi").distinct()
-    return tokens.join(narrow.groupBy("k").agg(F.collect_list(F.struct("s", "h", "p")).alias("x")), "k").select("k", "w", F.inline("x"))
-
+        return texts.withColumn("x", _among(by_size))
+    narrow = texts.select("k", F.inline(_placed(sizes))).join(sought, ["s", "h"], "left_semi").distinct()
+    none = F.expr("cast(array() as array<struct<s:int,h:bigint,p:int>>)")
+    return texts.join(narrow.groupBy("k").agg(F.collect_list(F.struct("s", "h", "p")).alias("x")), "k", "left").withColumn("x", F.coalesce("x", none))
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", inline: int = INLINE) -> DataFrame:
-    """Per distinct text with hits: k (its 16-byte key), n_hit, spans (start, end in words; merged), items (sorted ids) and n_items.
 
-    Items without an id are one item more in n_items and hit like others.
-    """
-    tokens = docs.select(text_key(F.col(text)).alias("k"), words(F.col(text)).alias("w"))
+def _search(docs: DataFrame, items: DataFrame, window: int, text: str, inline: int, key: str | None) -> tuple[DataFrame, DataFrame] | None:
+    """(rows, hits): rows are k and n_words of docs' rows, with key all of them and that column too; hits as hits() has them."""
+    own = [F.col(key).alias("doc_id")] if key else []
+    tokens = docs.select(*own, text_key(F.col(text)).alias("k"), words(F.col(text)).alias("w"))
     wins = cut(item_windows(items, window).withColumn("s", F.least(F.size("win"), F.lit(SHINGLE))))
     sizes = sorted(r[0] for r in wins.select("s").distinct().collect())  # SHINGLE numbers at most
     if not sizes:
-        return docs.sparkSession.createDataFrame([], "k binary, n_hit long, spans array<struct<lo:int,hi:int>>, items array<string>, n_items long")
+        return None
     placed = cut(wins.select("win", "items", "s", F.posexplode(F.expr("CASE s " + " ".join(f"WHEN {s} THEN {_shingles('win', s)}" for s in sizes) + " END")).alias("o", "h")))
-    rarity = cut(_found(tokens, placed.select("s", "h").distinct(), sizes, inline).groupBy("s", "h").count())
+    # explode_outer: explode would have the array made once more, to see whether it is empty
+    every = _found(tokens.select("k", "w"), placed.select("s", "h").distinct(), sizes, inline).select(F.explode_outer("x").alias("x"))
+    rarity = cut(every.where("x is not null").groupBy("x.s", "x.h").count())
     ranked = placed.join(rarity, ["s", "h"], "left").groupBy("win", "s").agg(F.min(F.struct("count", "o", "h")).alias("x"), F.first("items").alias("items"))
     # a window with a shingle that no document has (its count is null, which sorts first) can't occur
     prefix = cut(ranked.where("x.count is not null").select("win", "items", "s", "x.o", "x.h"))
-    around = _found(tokens, prefix.select("s", "h").distinct(), sizes, inline).select(
-        "k", "s", "h", "p", F.size("w").alias("n"), F.greatest(F.col("p") - window, F.lit(0)).alias("b"), F.expr(f"slice(w, greatest(p - {window}, 0) + 1, {2 * window + SHINGLE})").alias("c")
-    )
+    around = _with_words(f"transform(x, y -> struct(y.s as s, y.h as h, y.p as p, greatest(y.p - {window}, 0) as b, slice(w, greatest(y.p - {window}, 0) + 1, {2 * window + SHINGLE}) as c))")
+    texts = _found(tokens, prefix.select("s", "h").distinct(), sizes, inline).select(*(["doc_id"] if key else []), "k", F.size("w").alias("n"), around.alias("x"))
+    rows = cut(texts if key else texts.where(F.size("x") > 0))
     fits = (F.col("p") >= F.col("o")) & (F.col("p") - F.col("o") + F.size("win") <= F.col("n")) & (F.expr("slice(c, greatest(p - o - b, 0) + 1, size(win))") == F.col("win"))
-    found = around.join(prefix, ["s", "h"]).where(fits).select("k", (F.col("p") - F.col("o")).alias("lo"), F.size("win").alias("size"), F.explode("items").alias("item"))
+    found = rows.select("k", "n", F.inline("x")).join(prefix, ["s", "h"]).where(fits).select("k", (F.col("p") - F.col("o")).alias("lo"), F.size("win").alias("size"), F.explode("items").alias("item"))
     gathered = found.groupBy("k").agg(F.collect_set(F.struct("lo", "size")).alias("at"), F.collect_set("item").alias("own"))
     # the words hit, in order; a span begins where the word before is not hit
     covered = gathered.withColumn("c", F.expr("array_sort(array_distinct(flatten(transform(at, x -> sequence(x.lo, x.lo + x.size - 1)))))"))
     begins, ends = F.expr("filter(c, (x, i) -> i = 0 OR c[i - 1] < x - 1)"), F.expr("filter(c, (x, i) -> i = size(c) - 1 OR c[i + 1] > x + 1)")
-    return covered.select(
+    hit = covered.select(
         "k",
         F.size("c").cast("long").alias("n_hit"),
         F.zip_with(begins, ends, lambda x, y: F.struct(x.alias("lo"), (y + 1).alias("hi"))).alias("spans"),
         F.expr("array_sort(filter(own.item, x -> x IS NOT NULL))").alias("items"),
         F.size("own").cast("long").alias("n_items"),
     )
+    return rows, hit
+
+
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", inline: int = INLINE) -> DataFrame:
+    """Per distinct text with hits: k (its 16-byte key), n_hit, spans (start, end in words; merged), items (sorted ids) and n_items.
+
+    Items without an id are one item more in n_items and hit like others.
+    """
+    found = _search(docs, items, window, text, inline, None)
+    return found[1] if found else docs.sparkSession.createDataFrame([], "k binary, n_hit long, spans array<struct<lo:int,hi:int>>, items array<string>, n_items long")
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for every row of docs, as the contract has it."""
-    own = docs.select("doc_id", text_key(F.col("text")).alias("k"), F.regexp_count(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
+    found = _search(docs, items, window, "text", INLINE, "doc_id")
     none = F.lit(0).cast("long")
-    return own.join(hits(docs, items, window), "k", "left").select(
+    if found is None:
+        joined = docs.select("doc_id", F.size(words(F.col("text"))).alias("n"), none.alias("n_hit"), none.alias("n_items"), F.lit(None).cast("array<string>").alias("items"))
+    else:
+        joined = found[0].join(found[1], "k", "left")
+    n_hit = F.coalesce("n_hit", none)
+    return joined.select(
         "doc_id",
-        "n_words",
-        F.coalesce("n_hit", none).alias("n_hit"),
+        F.col("n").cast("long").alias("n_words"),
+        n_hit.alias("n_hit"),
         F.coalesce("n_items", none).alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
-        F.col("n_hit").isNotNull().alias("contaminated"),
+        (n_hit > 0).alias("contaminated"),
     )
 
 
