@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 LONG = 24
-#: Encoded units that a Python worker keeps; when full, those met once since the last time go. Only speed depends on it.
+#: Encoded units that a Python worker keeps; when full, it begins anew. Only speed depends on it.
 KEEP = 400_000
 
 
@@ -71,7 +72,12 @@ class Codec:
                 at, steps = (at + 1) & int(self.mask), steps + 1
             self.probes = max(self.probes, steps)
             self.slot_key[at], self.slot_rank[at], self.slot_id[at] = key, r, i
-        self.known: dict[str, list] = {}
+        self.points = np.full(0x110000, -1, np.int32)  # symbols by code point
+        for ch, i in self.symbol.items():
+            if len(ch) == 1:
+                self.points[ord(ch)] = i
+        self.known: dict[str, str] = {}  # ids, joined, of the units met
+        self.said: dict[str, str] = {}  # and their text
         self.differ = 0
         self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 
@@ -124,40 +130,39 @@ class Codec:
         return [x for x in s if x is not None]
 
     def _rows(self, units: list[str]) -> list[list[int]]:
-        """The ids of many units of one length, side by side."""
-        width = len(units[0])
-        get = self.symbol.get
-        odd: dict[str, int] = {}  # characters that no piece has: negative numbers
-        s = np.array([[get(ch) if ch in self.symbol else odd.setdefault(ch, -2 - len(odd)) for ch in u] for u in units], np.int64)
-        rank, merged = np.full((len(units), width), self.NONE, np.int32), np.zeros((len(units), width), np.int32)
-        r, m = self._rank(s[:, :-1].ravel(), s[:, 1:].ravel())
-        rank[:, :-1], merged[:, :-1] = r.reshape(-1, width - 1), m.reshape(-1, width - 1)
-        live, size = np.arange(len(units)), np.full(len(units), width)
+        """The ids of many units of one length, side by side: each step merges the best pair of every unit."""
+        n, width = len(units), len(units[0])
+        points = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.int64)
+        # with a column of -1 at each end, where links of the first and last symbols lead to
+        s = np.full((n, width + 2), -1, np.int64)
+        found = self.points[points]
+        s[:, 1:-1] = np.where(found >= 0, found, -2 - points).reshape(n, width)  # characters that no piece has: negative numbers
+        row = width + 2
+        s = s.ravel()
+        after, before = np.arange(1, n * row + 1), np.arange(-1, n * row - 1)
+        rank, merged = (x.reshape(-1) for x in self._rank(s, np.append(s[1:], -1)))
+        best_of = rank.reshape(n, row)
+        live = np.arange(n)
         while len(live):
-            part = rank[live]
+            part = best_of[live]
             best = part.argmin(axis=1)
             more = part[np.arange(len(live)), best] != self.NONE
-            live, best = live[more], best[more]
-            if not len(live):
-                break
-            s[live, best] = merged[live, best]
-            size[live] -= 1
-            # close the gap
-            col = np.arange(width - 1)[None, :]
-            gap = col > best[:, None]
-            for x, fill in ((s, -1), (rank, self.NONE), (merged, 0)):
-                y = x[live]
-                y[:, :-1] = np.where(gap, y[:, 1:], y[:, :-1])
-                y[:, -1] = fill
-                x[live] = y
-            for at in (best - 1, best):
-                ok = (at >= 0) & (at < width - 1)
-                rows, c = live[ok], at[ok]
-                r, m = self._rank(s[rows, c], s[rows, c + 1])
-                rank[rows, c], merged[rows, c] = r, m
-        back = {v: k for k, v in odd.items()}
-        simple = ((s < len(self.piece)) & (s >= -1)).all(axis=1).tolist()  # all symbols are pieces
-        return [row[:k] if x else self._ids([back.get(v, v) for v in row[:k]]) for row, k, x in zip(s.tolist(), size.tolist(), simple, strict=True)]
+            live = live[more]
+            at = live * row + best[more]
+            gone = after[at]
+            beyond = after[gone]
+            s[at], s[gone] = merged[at], -1
+            after[at], before[beyond] = beyond, at
+            rank[gone] = self.NONE
+            for left in (before[at], at):
+                rank[left], merged[left] = self._rank(s[left], s[after[left]])
+        kept = s.reshape(n, row) != -1
+        ends = np.cumsum(kept.sum(axis=1)).tolist()
+        symbols = s[kept.ravel()]
+        odd = np.logical_or.reduceat((symbols < 0) | (symbols >= len(self.piece)), [0, *ends[:-1]]).tolist()
+        symbols = symbols.tolist()
+        rows = [symbols[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        return [self._ids([x if x >= 0 else chr(-2 - x) for x in r]) if o else r for r, o in zip(rows, odd, strict=True)]
 
     def _ids(self, symbols: list) -> list[int]:
         out: list[int] = []
@@ -197,7 +202,8 @@ class Codec:
                 digits = self.digits
                 for u, own, told in zip(part, ids, self._told(part), strict=True):
                     self.differ += own != told
-                    self.known[u] = [",".join([digits[i] for i in own]), self.decode(own), 0]
+                    self.known[u] = ",".join([digits[i] for i in own])
+                    self.said[u] = self.decode(own)
 
     def _told(self, units: list[str]) -> list[list[int]]:
         """The library's ids for units: it puts a mark before a text, which units that start with one have."""
@@ -214,24 +220,15 @@ class Codec:
     def encode(self, texts: list[str]):
         """(number of ids, ids joined by commas, decoded text) of each text."""
         cut = [self.cut.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
-        known = self.known
-        if len(known) > KEEP:
-            self.known = known = {u: [*v[:2], 0] for u, v in known.items() if v[2] > 1}
-        new: dict[str, None] = {}
-        for units in cut:
-            for u in units:
-                v = known.get(u)
-                if v is None:
-                    new[u] = None
-                else:
-                    v[2] += 1
+        if len(self.known) > KEEP:
+            self.known, self.said = {}, {}
+        new = set(chain.from_iterable(cut)).difference(self.known)
         if new:
             self.learn(list(new))
         out = []
-        for t, units in zip(texts, cut, strict=True):
-            found = [known[u] for u in units]
-            ids = ",".join([v[0] for v in found])
-            out.append((ids.count(",") + 1 if ids else 0, ids, "".join([v[1] for v in found])[1:]))
+        for units in cut:
+            ids = ",".join(map(self.known.__getitem__, units))
+            out.append((ids.count(",") + 1 if ids else 0, ids, "".join(map(self.said.__getitem__, units))[1:]))
         return out
 
 
