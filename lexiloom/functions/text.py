@@ -26,7 +26,7 @@ def normalize_newlines(c: Column) -> Column:
 def decode_text(data: Column) -> Column:
     """Bytes as text: a byte-order mark counts, then UTF-16 by its zero bytes, then UTF-8, else windows-1252."""
     head = F.hex(F.substring(data, 1, 4))
-    probe = F.substring(F.hex(F.substring(data, 1, 512)), 1, 1024)
+    probe = F.hex(F.substring(data, 1, 4096))
     zeros = lambda odd: F.size(F.filter(F.sequence(F.lit(1 + 2 * odd), F.greatest(F.length(probe) - 1, F.lit(1 + 2 * odd)), F.lit(4)), lambda i: F.substring(probe, i, F.lit(2)) == "00"))
     each = F.greatest(F.length(probe) / 4, F.lit(1))
     text = (

@@ -61,7 +61,7 @@ def owner(starts: list[int], block: int) -> int:
 
 def chunk_bytes(data: bytes, name: str, mode: str = "default", **options) -> list[dict]:
     validate(mode, **{k: v for k, v in options.items() if k in OPTIONS})
-    return chunk_loaded(load(name, data), name, mode, **options)
+    return chunk_loaded(load(name, data, options.get("encoding") or "auto"), name, mode, **options)
 
 
 def _per_file(files: DataFrame, key: str, data: str, name: str, fn, fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:

@@ -23,27 +23,28 @@ def sniff_delimiter(text: str) -> str:
 
 
 def _number(x: str) -> bool:
+    """A number, signed or with a currency before it, thousands set apart by commas, maybe a percentage."""
     try:
-        float(x.strip().replace(",", ""))
+        float(x.strip().lstrip("+-$£€").replace(",", "").rstrip("%"))
     except ValueError:
         return False
-    return True
+    return "_" not in x
 
 
 def has_header(first: Row, rows: list[Row]) -> bool:
-    """A vote of the columns over at most 20 rows: numbers under a name, or texts of another length than the name's."""
+    """A vote of the columns over the first 20 rows, which are the rule's own limit: numbers under a name, or texts of another length."""
     rows = rows[:20]
     if not rows or any(not c.strip() for c in first) or all(map(_number, first)):
         return False
     votes = 0
     for i, name in enumerate(first):
-        values = [r[i] for r in rows if i < len(r) and r[i].strip()]
+        values = [r[i] for r in rows if i < len(r)]
         if not values:
             continue
         if 2 * sum(map(_number, values)) > len(values):
             votes += -1 if _number(name) else 1
         else:
-            votes += 1 if sorted(map(len, values))[len(values) // 2] != len(name) else -1
+            votes += 1 if sorted(len(v.strip()) for v in values)[len(values) // 2] != len(name.strip()) else -1
     return votes > 0
 
 
@@ -97,13 +98,19 @@ def _trimmed(rows: list[Row]) -> list[Row]:
     return [r for r in rows if any(c.strip() for c in r)]
 
 
+class Typed(str):
+    """The text of a cell that is no text: a number, truth value, date or error."""
+
+    __slots__ = ()
+
+
 def sheet_header(rows: list[Row]) -> tuple[Row, list[Row]]:
-    """The first filled row is the header if all its cells are text; a sheet of only that row has it as data too."""
+    """The first filled row is the header if all its cells are text, or texts follow one number; a sheet of only that row has it as data too."""
     filled = _trimmed(rows)
     if not filled:
         return [], []
     first = filled[0]
-    texts = [not _number(c) for c in first if c.strip()]
+    texts = [not isinstance(c, Typed) for c in first if c.strip()]
     if all(texts) or (len(texts) > 1 and not texts[0] and all(texts[1:])):
         return first, filled[1:] or filled[:1]
     return [""] * len(first), filled
@@ -126,9 +133,9 @@ def category_column(header: Row, rows: list[Row]) -> int | None:
     """The text column with the fewest values that repeat; the first of those."""
     best = None
     for j in range(len(header)):
-        values = [r[j].strip() for r in rows if j < len(r) and r[j].strip()]
+        values = [v if isinstance(v := r[j], Typed) else v.strip() for r in rows if j < len(r) and r[j].strip()]
         distinct = len(set(values))
-        if values and distinct < len(values) and not any(map(_number, values)) and (best is None or distinct < best[0]):
+        if values and distinct < len(values) and not any(isinstance(v, Typed) or _number(v) for v in values) and (best is None or distinct < best[0]):
             best = (distinct, j)
     return best[1] if best else None
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from itertools import groupby
 from typing import NamedTuple
 
+from ..functions.splits import docx_sentences, md_sentences
 from ..functions.words import BREAKS, NOT_IN_TXT, PROSE_MAX, PROSE_MIN, SECTION_MAX, SEMANTIC_MAX, SHORT_PARAGRAPH, SIGNALS, STOP_WORDS
 
 PROSE = ("plain_paragraph", "long_single_paragraph", "short_disconnected_paragraph")
@@ -344,7 +345,8 @@ def sentence(blocks: list[Block], style: Style, sentences_per_chunk: int = 3) ->
             flush()
             out.append(_chunk(b.type, b.content, section_heading=p.heading, heading_path=p.path))
         else:
-            units = [x for x in map(str.strip, b.content.split("\n")) if x] if b.type == "bullet_list" else sentences(b.content)
+            split = docx_sentences if style.name == "docx" else md_sentences if style.lists_alone else sentences
+            units = [x for x in map(str.strip, b.content.split("\n")) if x] if b.type == "bullet_list" else split(b.content)
             held += [(s, number, p) for s in units]
         number += 1
     flush()

@@ -15,7 +15,10 @@ def settled(df: DataFrame) -> DataFrame:
     """df, written once to the shared checkpoint folder: a range-partitioned order must not change between two reads."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiloom-"))
     return df.checkpoint()
 
 
@@ -103,7 +106,7 @@ def as_of(df: DataFrame, order: list[str], value: Column, within: list[str], nam
 def containing(ranges: DataFrame, points: DataFrame, lo: str, hi: str, at: str, label: str, max_ranges: int = 10_000) -> DataFrame:
     """points with the label of the first range (by lo, then label) that holds `at`; null where none does.
 
-    Up to max_ranges ranges are broadcast, as one sorted array; more are joined by cells of the range's own width.
+    Up to max_ranges ranges are broadcast, as one sorted array; more are joined by cells as wide as the range.
     """
     n = ranges.limit(max_ranges + 1).count()
     if n <= max_ranges:
@@ -111,10 +114,16 @@ def containing(ranges: DataFrame, points: DataFrame, lo: str, hi: str, at: str,
         joined = points.join(F.broadcast(listed), how="left")
         fits = F.filter("__ranges", lambda r: (r["lo"] <= F.col(at)) & (r["hi"] >= F.col(at)))
         return joined.withColumn(label, F.try_element_at(fits, F.lit(1))["label"]).drop("__ranges")
-    width = ranges.agg(F.greatest(F.percentile_approx(F.col(hi) - F.col(lo), 0.9), F.lit(1))).first()[0]
-    cells = ranges.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.col(label).alias("__label"), F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))).alias("__cell"))
-    keyed = points.withColumn("__id", F.monotonically_increasing_id()).withColumn("__cell", F.floor(F.col(at) / width))
-    found = keyed.join(cells, "__cell").where((F.col("__lo") <= F.col(at)) & (F.col("__hi") >= F.col(at))).groupBy("__id").agg(F.min(F.struct("__lo", "__label")).alias("__x"))
+    # A range of any width is filed under one cell of a power of two that is at least as wide, and under the next if it
+    # reaches into that; a point is looked up in its cell of every width that occurs (64 at most).
+    power = F.ceil(F.log2(F.greatest(F.col(hi) - F.col(lo), F.lit(1)).cast("double"))).cast("int")
+    sized = ranges.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.col(label).alias("__label"), power.alias("__power"))
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), "__power"))
+    cells = sized.withColumn("__cell", F.explode(F.array_distinct(F.array(cell("__lo"), cell("__hi")))))
+    powers = [r[0] for r in sized.select("__power").distinct().collect()]
+    keyed = settled(points.withColumn("__id", F.monotonically_increasing_id()))
+    probes = keyed.select("__id", F.col(at).alias("__at"), F.explode(F.array(*map(F.lit, powers))).alias("__power")).withColumn("__cell", cell("__at"))
+    found = probes.join(cells, ["__power", "__cell"]).where((F.col("__lo") <= F.col("__at")) & (F.col("__hi") >= F.col("__at"))).groupBy("__id").agg(F.min(F.struct("__lo", "__label")).alias("__x"))
     return keyed.join(found, "__id", "left").withColumn(label, F.col("__x.__label")).select(*points.columns, label)
 
 

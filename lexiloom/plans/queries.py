@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import rows
 from ..operators.documents import blocks_of, chunk_texts
 from ..operators.fit import fit_chunks, fit_words
+from . import relation_queries
 
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
 BANDS = [(1, 10, "small"), (5, 20, "medium"), (21, 50, "large")]
@@ -196,3 +197,4 @@ QUERIES |= {name: _tags(*x) for name, x in TAGS.items()}
 QUERIES |= {f"{m}_mode": _mode(m) for m in ("structural", "section", "semantic", "sentence", "sliding_window", "page_aware")}
 QUERIES |= {f"html_{m}_mode": _mode(m, "pages", "html") for m in ("structural", "section", "semantic", "sentence", "sliding_window", "page_aware")}
 QUERIES |= {"md_structural_mode": _mode("structural", fmt="md"), "md_semantic_mode": _mode("semantic", fmt="md")}
+QUERIES |= relation_queries.QUERIES

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.words import BREAKS, NOT_IN_TXT, SIGNALS, STOP_WORDS
+from . import mode_sql, relation_queries
 from .queries import BANDS, CUSTOMER, TAGS
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -112,3 +113,4 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, pos) - 1 AS
 }
 for _name, (_pattern, _column) in TAGS.items():
     SQL[_name] = f"WITH d AS (SELECT page_id, regexp_extract_all(html, '{_pattern}', 1) AS a FROM pages) SELECT page_id, unnest(range(len(a))) AS pos, unnest(a) AS {_column} FROM d"
+SQL |= mode_sql.SQL | relation_queries.SQL

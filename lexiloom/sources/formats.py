@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import email
 import email.policy
 import email.utils
@@ -35,7 +36,6 @@ FAMILIES = {
     "rtf": ("rtf",),
 }
 FAMILY = {ext: family for family, exts in FAMILIES.items() for ext in exts}
-PART_MAX = 256 << 20  # bytes of one unpacked part of a package
 
 
 class UnsupportedFormat(ValueError):
@@ -61,6 +61,22 @@ def extension(name: str) -> str:
     return posixpath.basename(name.replace("\\", "/")).rpartition(".")[2].lower()
 
 
+#: Encodings that a caller may name for delimited text, with Python's name for each. Fixed values.
+NAMED = {"utf-8": "utf-8", "utf-8-bom": "utf-8-sig", "utf-16-le": "utf-16-le", "utf-16-be": "utf-16-be", "latin-1": "cp1252", "windows-1252": "cp1252"}
+
+
+def decode_named(data: bytes, encoding: str) -> str:
+    """Text in the encoding that the caller names: strict, where `auto` never fails."""
+    if encoding == "auto":
+        return decode(data)
+    if encoding not in NAMED:
+        raise ValueError(f"unsupported encoding: {encoding!r}")
+    try:
+        return _newlines(data.decode(NAMED[encoding]))
+    except UnicodeDecodeError as e:
+        raise ParseError(f"the bytes are not {encoding}: {e.reason} at {e.start}") from None
+
+
 def decode(data: bytes, declared: str | None = None) -> str:
     """Byte-order mark, zero bytes of UTF-16, UTF-8, a declared charset, else windows-1252; line ends are line feeds."""
     head = data[:4096]
@@ -202,17 +218,23 @@ def _eml(data: bytes) -> Loaded:
     return Loaded(replace(MD, name="eml", extra=facts), markdown_blocks(text), text=text)
 
 
-def split_mbox(text: str) -> list[str]:
-    """Messages that begin with a postmark line (`From `, with a year at its end) before a header line."""
-    lines = text.split("\n")
-    at = [i for i, x in enumerate(lines) if re.match(r"From .*\d{4}\s*$|From \S+@\S+", x) and i + 1 < len(lines) and re.match(r"[\w-]+:", lines[i + 1])]
-    return ["\n".join(re.sub(r"^>(>*From )", r"\1", x) for x in lines[i + 1 : j]) for i, j in zip(at, [*at[1:], len(lines)], strict=True)]
+_POSTMARK = re.compile(rb"^From (?:.*\d{4}\s*|\S+@\S+.*)$")
+
+
+def split_mbox(data: bytes) -> list[bytes]:
+    """Messages that begin with a postmark line (`From `, with a year at its end or an address) before a header line.
+
+    They stay bytes: each message declares its own charsets.
+    """
+    lines = data.replace(b"\r\n", b"\n").split(b"\n")
+    at = [i for i, x in enumerate(lines[:-1]) if _POSTMARK.match(x) and re.match(rb"[\w-]+:", lines[i + 1])]
+    return [b"\n".join(re.sub(rb"^>(>*From )", rb"\1", x) for x in lines[i + 1 : j]) for i, j in zip(at, [*at[1:], len(lines)], strict=True)]
 
 
 def _mbox(data: bytes) -> Loaded:
     blocks, starts, texts = [], [], []
-    for i, m in enumerate(split_mbox(decode(data))):
-        text, f = _mail(m.encode("utf-8", "surrogateescape"), 2)
+    for i, m in enumerate(split_mbox(data)):
+        text, f = _mail(m, 2)
         starts.append((len(blocks), {"message_index": i, "message_subject": f["subject"], "message_from": f["from"], "message_date": f["date"], "message_id": f["message_id"], "in_reply_to": f["in_reply_to"], "references": f["references"]}))
         blocks += markdown_blocks(text)
         texts.append(text)
@@ -267,8 +289,6 @@ class _Package:
     def xml(self, name: str) -> ElementTree.Element | None:
         if name not in self.names:
             return None
-        if self.zip.getinfo(name).file_size > PART_MAX:
-            raise ParseError(f"{name} is larger than {PART_MAX} bytes")
         try:
             return ElementTree.fromstring(self.zip.read(name))
         except ElementTree.ParseError as e:
@@ -406,12 +426,46 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+#: Built-in number formats that show dates or times. Fixed values.
+DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+
+
+def _is_date(code: str) -> bool:
+    """Whether a number format shows a date or time: day, month, year, hour or second letters outside quotes and brackets."""
+    bare = re.sub(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", code.split(";")[0].lower())
+    return bool(re.search("[ymdhs]", bare.replace("general", "")))
+
+
+def _date_styles(package: _Package) -> set[int]:
+    """Numbers of the cell styles that show dates."""
+    styles = package.xml("xl/styles.xml")
+    if styles is None:
+        return set()
+    own = {int(x.get("numFmtId")): x.get("formatCode") or "" for x in _all(styles, "numFmt")}
+    cells = next(_all(styles, "cellXfs"), None)
+    formats = [int(x.get("numFmtId") or 0) for x in cells if _local(x) == "xf"] if cells is not None else []
+    return {i for i, f in enumerate(formats) if (_is_date(own[f]) if f in own else f in DATE_FORMATS)}
+
+
+def serial_text(v: str, from_1904: bool = False) -> str:
+    """A day number as `YYYY-MM-DD HH:MM:SS`; day 60 of 1900, which there never was, moves the days before it."""
+    try:
+        days = float(v) + (1462 if from_1904 else 0)
+        start = datetime.datetime(1899, 12, 31 if days < 60 else 30)
+        at = start + datetime.timedelta(milliseconds=round(days * 86_400_000))
+    except (ValueError, OverflowError):
+        return cell_text(v)
+    return at.strftime("%Y-%m-%d %H:%M:%S") + (f".{at.microsecond // 1000:03d}" if at.microsecond else "")
+
+
 def _xlsx(package: _Package) -> list[tuple[str, list[grid.Row]]]:
     book, links = package.xml("xl/workbook.xml"), package.related("xl/workbook.xml")
     if book is None:
         raise ParseError("xl/workbook.xml is missing")
     strings = package.xml("xl/sharedStrings.xml")
     shared = ["".join(t.text or "" for t in _all(s, "t")) for s in (strings if strings is not None else ()) if _local(s) == "si"]
+    dates = _date_styles(package)
+    from_1904 = any(x.get("date1904") in ("1", "true") for x in _all(book, "workbookPr"))
     out = []
     for s in _all(book, "sheet"):
         root = package.xml(links.get(_attr(s, "id"), ""))
@@ -430,9 +484,11 @@ def _xlsx(package: _Package) -> list[tuple[str, list[grid.Row]]]:
                 elif kind == "inlineStr":
                     v = "".join(t.text or "" for t in _all(c, "t"))
                 elif kind == "b":
-                    v = "true" if v == "1" else "false"
-                elif kind is None or kind == "n":
-                    v = cell_text(v) if v else ""
+                    v = grid.Typed("true" if v == "1" else "false")
+                elif kind in ("d", "e"):
+                    v = grid.Typed(v)
+                elif (kind is None or kind == "n") and v:
+                    v = grid.Typed(serial_text(v, from_1904) if int(c.get("s") or 0) in dates else cell_text(v))
                 row.append(v)
             rows.append(row)
         out.append((s.get("name"), rows))
@@ -440,21 +496,32 @@ def _xlsx(package: _Package) -> list[tuple[str, list[grid.Row]]]:
 
 
 def _ods(package: _Package) -> list[tuple[str, list[grid.Row]]]:
+    """Repeated cells and rows count as often as they say; empty ones behind the last filled one are left out."""
     root = package.xml("content.xml")
     if root is None:
         raise ParseError("content.xml is missing")
     out = []
     for table in _all(root, "table"):
-        rows = []
+        rows: list[grid.Row] = []
+        empty = 0  # rows since the last filled one
         for r in _all(table, "table-row"):
             row: grid.Row = []
+            gap = 0
             for c in r:
                 if _local(c) in ("table-cell", "covered-table-cell"):
                     text = "\n".join("".join(p.itertext()) for p in c if _local(p) == "p")
-                    row += [text] * min(int(_attr(c, "number-columns-repeated") or 1), 64 if not text else 16384)
-            while row and not row[-1]:
-                row.pop()
-            rows += [row] * min(int(_attr(r, "number-rows-repeated") or 1), 1 if not row else 1 << 20)
+                    times = int(_attr(c, "number-columns-repeated") or 1)
+                    if not text:
+                        gap += times
+                        continue
+                    row += [""] * gap + [text if _attr(c, "value-type") in (None, "string") else grid.Typed(text)] * times
+                    gap = 0
+            times = int(_attr(r, "number-rows-repeated") or 1)
+            if not row:
+                empty += times
+                continue
+            rows += [[]] * empty + [row] * times
+            empty = 0
         out.append((_attr(table, "name"), rows))
     return out
 
@@ -550,33 +617,60 @@ _RTF = re.compile(r"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[
 _RTF_SKIP = set("fonttbl colortbl stylesheet info pict object listtable listoverridetable generator header footer themedata datastore".split())
 
 
+#: Python's names of the code pages and font charsets that RTF may name; any other is windows-1252. Fixed values.
+CODE_PAGES = {932: "cp932", 936: "gbk", 949: "cp949", 950: "cp950", 1250: "cp1250", 1251: "cp1251", 1253: "cp1253", 1254: "cp1254", 1255: "cp1255", 1256: "cp1256"}
+FONT_CHARSETS = {128: "cp932", 134: "gbk", 136: "cp950", 129: "cp949", 238: "cp1250", 204: "cp1251", 161: "cp1253", 162: "cp1254", 177: "cp1255", 178: "cp1256"}
+
+
+def _rtf_fonts(text: str) -> dict[int, str]:
+    """Code page by font number, from the font table."""
+    table = re.search(r"{\\fonttbl(?:[^{}]|{[^{}]*(?:{[^{}]*}[^{}]*)*})*}", text)
+    found = re.findall(r"\\f(\d+)(?=[\\ ])[^{};]*?\\fcharset(\d+)", table[0]) if table else []
+    return {int(f): FONT_CHARSETS[int(c)] for f, c in found if int(c) in FONT_CHARSETS}
+
+
+def _rtf_headings(text: str) -> dict[int, int]:
+    """Heading level by style number, from the style sheet's names."""
+    return {int(n): int(level) for n, level in re.findall(r"{\\s(\d+)\b[^{}]*?[Hh]eading (\d)\s*;}", text)}
+
+
 def _rtf(data: bytes) -> Loaded:
     text = data.decode("latin-1")
     if not text.lstrip().startswith("{\\rtf"):
         raise ParseError("not RTF")
     out: list[str] = []
-    stack: list[tuple[bool, int]] = []
+    stack: list[tuple[bool, int, str]] = []
     skip, fallback, pending = False, 1, 0
     raw = bytearray()
+    page = re.search(r"\\ansicpg(\d+)", text[:512])
+    default = code = CODE_PAGES.get(int(page[1]), "cp1252") if page else "cp1252"
+    fonts, levels = _rtf_fonts(text), _rtf_headings(text)
 
     def put(s: str) -> None:
         nonlocal raw
         if raw:
-            out.append(raw.decode("cp1252", "replace"))
+            out.append(raw.decode(code, "replace"))
             raw = bytearray()
         out.append(s)
 
     for m in _RTF.finditer(text):
         word, number, hexa, mark, brace, plain = m.groups()
         if brace == "{":
-            stack.append((skip, fallback))
+            put("")
+            stack.append((skip, fallback, code))
         elif brace == "}":
+            put("")
             if stack:
-                skip, fallback = stack.pop()
+                skip, fallback, code = stack.pop()
         elif mark == "*" or word in _RTF_SKIP:
             skip = True
         elif skip:
             continue
+        elif word == "f" and number:
+            put("")
+            code = fonts.get(int(number), default)
+        elif word == "s" and number and int(number) in levels:
+            put("#" * levels[int(number)] + " ")
         elif word == "uc":
             fallback = int(number or 1)
         elif word == "u" and number:
@@ -609,8 +703,8 @@ def _rtf(data: bytes) -> Loaded:
     return Loaded(style, markdown_blocks(body), text=body.strip())
 
 
-def load(name: str, data: bytes) -> Loaded:
-    """Parse a file by the extension of its name; csv and tsv give sheets of one."""
+def load(name: str, data: bytes, encoding: str = "auto") -> Loaded:
+    """Parse a file by the extension of its name; csv and tsv give their text, in the encoding named."""
     ext = extension(name)
     family = FAMILY.get(ext)
     if family is None:
@@ -625,6 +719,6 @@ def load(name: str, data: bytes) -> Loaded:
         blocks = html_blocks(_html_text(data))
         return Loaded(HTML, blocks, text=blocks_to_markdown(blocks))
     if family == "csv":
-        return Loaded(replace(MD, name=ext), text=decode(data))
+        return Loaded(replace(MD, name=ext), text=decode_named(data, encoding))
     two = {"json": _json, "sheet": _sheet, "odf": _odf}
     return two[family](data, ext) if family in two else {"eml": _eml, "mbox": _mbox, "ipynb": _ipynb, "docx": _docx, "pptx": _pptx, "epub": _epub, "rtf": _rtf}[family](data)

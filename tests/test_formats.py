@@ -96,7 +96,7 @@ def test_records_messages_and_slides_keep_their_facts():
 
 def test_records_render_nested():
     assert render_record({"a": {"b": [1, None]}, "c": [{"d": "x"}]}) == "- **a:**\n  - **b:** 1, null\n- **c:**\n  - **[0]:**\n    - **d:** x"
-    assert len(split_mbox("From a 2026\nSubject: x\n\n>From b\nFrom here on\n\nFrom c 2026\nTo: y\n\nz")) == 2
+    assert len(split_mbox(b"From a 2026\nSubject: x\n\n>From b\nFrom here on\n\nFrom c 2026\nTo: y\n\nz")) == 2
 
 
 @pytest.mark.parametrize(("data", "text"), [(b"\xef\xbb\xbfa\r\nb\rc", "a\nb\nc"), ("añ".encode("utf-16"), "añ"), ("plain text".encode("utf-16-le"), "plain text"), (b"caf\xe9", "café"), (b"", "")])
