@@ -49,15 +49,13 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(trigram bucket of each byte, first byte and document of each passage, other features of each passage)."""
     begin, owner = passages(data, offsets)
+    x = np.concatenate([data, np.full(2, 32, np.uint8)]).astype(np.uint32)
+    h = x[:-2] | (x[1:-1] << np.uint32(8)) | (x[2:] << np.uint32(16))
+    # past a text's end there are spaces
     size = np.diff(offsets)
-    last = offsets[1:][size > 0] - 1
-    h = data.astype(np.uint32)
-    for k in (1, 2):  # the bytes after each; past a text's end there are spaces
-        after = np.full(len(data), 32, np.uint32)
-        after[:-k] = data[k:]
-        for m in range(k):
-            after[last[last >= m] - m] = 32
-        h |= after << np.uint32(8 * k)
+    for k in (1, 2):
+        at = offsets[1:][size >= k] - k
+        h[at] = (x[at] | (x[at + 1] << np.uint32(8)) if k == 2 else x[at] | np.uint32(32 << 8)) | np.uint32(32 << 16)
     ids = ((h * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int32)
     end = np.append(begin[1:], len(data))
     size = end - begin
@@ -65,10 +63,12 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     kinds = np.zeros((len(begin), EXTRA), np.float32)
     if some.any():
         kinds[some, :6] = np.add.reduceat(KINDS[data], begin[some], axis=0) / size[some, None]
-        # how few different trigrams a passage has
-        row = np.repeat(np.arange(len(begin)), size)
-        distinct = np.unique(row.astype(np.int64) << BITS | ids)
-        kinds[:, 6] = np.bincount(distinct >> BITS, minlength=len(begin)) / np.maximum(size, 1)
+        # how few different trigrams a passage has; a block of passages at a time
+        for i in range(0, len(begin), 256):
+            j = min(i + 256, len(begin))
+            met = np.zeros((j - i, 1 << BITS), bool)
+            met[np.repeat(np.arange(j - i), size[i:j]), ids[begin[i] : end[j - 1]]] = True
+            kinds[i:j, 6] = met.sum(axis=1) / np.maximum(size[i:j], 1)
     kinds[:, 7] = size == 0
     return ids, begin, owner, kinds
 
