@@ -331,11 +331,18 @@ def _finish(length: int, texts: bool):
     return finish
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, texts: bool = False, text: str = "text", local_group: int = LOCAL_GROUP) -> DataFrame:
-    """Per distinct text that loses bytes: k (its 16-byte key), n_removed, n_spans, kept_sha256, spans and, if texts, kept.
+#: Keys of 16 bytes up to which texts are picked by a broadcast, counted first; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
-    length: bytes of a string that must not occur twice, from 2 * 32 up.
-    """
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Distinct keys k, to be broadcast if they are counted to be few."""
+    found = cut(keys.select("k").distinct())
+    return F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
+
+
+def _touched(docs: DataFrame, length: int, text: str, local_group: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts long enough, as k and t; touched texts, as k, n copies and found spans; their keys)."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     source = docs.select(text_key(F.col(text)).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") >= length)
@@ -346,11 +353,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, texts: bool = False, text
     open_ = decided.where("not whole").select("h", "k", "p")
     hot = open_.groupBy("h").count().where(F.col("count") > local_group).select("h", F.lit(True).alias("hot"))
     asked = open_.join(hot, "h", "left").select("k", F.struct("h", "p", F.coalesce("hot", F.lit(False)).alias("hot"), F.lit(-1).alias("part")).alias("x"))
-    distinct = source.groupBy("k").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("n"))
 
     def solved(asked: DataFrame) -> DataFrame:
         listed = asked.groupBy("k").agg(F.collect_list("x").alias("asked"))
-        windows = distinct.join(listed, "k").select("k", "t", "asked", "n").mapInArrow(_contexts(length), CONTEXTS)
+        texts = source.join(_small(asked), "k", "left_semi").groupBy("k").agg(F.first("t").alias("t"))
+        windows = texts.join(listed, "k").select("k", "t", "asked").mapInArrow(_contexts(length), CONTEXTS)
         return windows.repartition(n, "g").sortWithinPartitions("g", "d").mapInArrow(_solve(length, local_group), FOUND)
 
     edges = cut(solved(asked))
@@ -360,8 +367,22 @@ def repeated_spans(docs: DataFrame, length: int = 200, texts: bool = False, text
         near = near.union(solved(hot_runs))
     near = near.groupBy("k", "lo").agg(F.max("hi").alias("hi")).select("k", "lo", "hi")
     spans = whole.union(near).distinct().groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    hit = distinct.join(spans, "k", "left").where("n > 1 or found is not null").select("k", "t", "n", "found")
-    return hit.mapInArrow(_finish(length, texts), RESULT)
+    copies = source.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    touched = cut(copies.join(spans, "k", "full").select("k", F.coalesce("n", F.lit(1)).alias("n"), "found"))
+    return source, touched, _small(touched)
+
+
+def _finished(source: DataFrame, touched: DataFrame, keys: DataFrame, length: int, texts: bool) -> DataFrame:
+    own = source.join(keys, "k", "left_semi").groupBy("k").agg(F.first("t").alias("t"))
+    return own.join(touched, "k").select("k", "t", "n", "found").mapInArrow(_finish(length, texts), RESULT)
+
+
+def repeated_spans(docs: DataFrame, length: int = 200, texts: bool = False, text: str = "text", local_group: int = LOCAL_GROUP) -> DataFrame:
+    """Per distinct text that loses bytes: k (its 16-byte key), n_removed, n_spans, kept_sha256, spans and, if texts, kept.
+
+    length: bytes of a string that must not occur twice, from 2 * 32 up. Texts without a part in it are not shuffled.
+    """
+    return _finished(*_touched(docs, length, text, local_group), length, texts)
 
 
 def dedup_report(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -383,9 +404,13 @@ def _texts(batches):
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with repeated strings cut out of text, n_chars (if there) set anew.
 
-    A character that a cut leaves in part goes too; a document of which nothing but white space is left goes.
+    A character that a cut leaves in part goes too; a document of which nothing but white space is left goes. Documents
+    that lose nothing are passed on next to the scan.
     """
-    found = repeated_spans(docs, length, texts=True).select("k", "kept").mapInArrow(_texts, "__k binary, __kept string")
-    joined = docs.withColumn("__k", text_key(F.col("text"))).join(found, "__k", "left").where(F.col("__kept").isNull() | F.col("__kept").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.coalesce("__kept", "text")} | ({"n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast("long"))} if "n_chars" in docs.columns else {})
-    return joined.withColumns(new).select(*docs.columns)
+    source, touched, keys = _touched(docs, length, "text", LOCAL_GROUP)
+    found = _finished(source, touched, keys, length, True).select("k", "kept").mapInArrow(_texts, "__k binary, __kept string")
+    keyed = docs.withColumn("__k", text_key(F.col("text")))
+    named = keys.withColumnRenamed("k", "__k")
+    joined = keyed.join(named, "__k", "left_semi").join(found, "__k").where(F.col("__kept").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("__kept")} | ({"n_chars": F.length("__kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return keyed.join(named, "__k", "left_anti").select(*docs.columns).union(joined.withColumns(new).select(*docs.columns))
