@@ -9,6 +9,9 @@ rest are compared at every offset around the position, in memory where a rank ha
 rank's positions are ranked again by longer strings: the offsets are split into PARTS runs, and the rank of a run is that
 of the bytes which all its windows share. What is still hot is ranked by whole windows.
 
+A rank that is met often in one slice of texts is dealt to several places by its context, before the sort; its pairs are
+then told apart wherever they stand, so no rank's positions meet in one task.
+
 Nothing is sampled: every window of `length` bytes contains a kept position, and is decided with it.
 Nulls and empty texts have no bytes. Texts shorter than `length` lose nothing. Repeated rows are copies of a text.
 """
@@ -67,7 +70,10 @@ def _positions(texts: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
     return doc, keep - starts[doc], ranks[keep], context[keep - (length - GRAM)]
 
 
-POSITIONS = "h long, c long, k binary, p int, n int"
+POSITIONS = "h long, s int, c long, k binary, p int, n int"
+
+#: A rank met so often among the positions of one slice is dealt to SALTS places by its context.
+HOT, SALTS = 8, 63
 
 
 def _scan(length: int):
@@ -86,9 +92,19 @@ def _scan(length: int):
                 names = list(seen)
                 doc, pos, h, c = _positions([seen[k][0] for k in names], length)
                 count = np.array([seen[k][1] for k in names], np.int32)[doc]
+                ranks, place, met = np.unique(h, return_inverse=True, return_counts=True)
+                salt = np.where(met[place] >= HOT, 1 + c % np.uint64(SALTS), 0).astype(np.int32)
+                # a mark at place 0 tells the rows there that their rank stands at other places too
+                marks = ranks[met >= HOT]
+                names.append(b"")
+                row = lambda x, v, t: np.concatenate([x.astype(t), np.full(len(marks), v, t)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(names, pa.binary()).take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(count)], names=["h", "c", "k", "p", "n"]
-                )
+                    [
+                        pa.array(np.concatenate([h, marks]).view(np.int64)), pa.array(row(salt, 0, np.int32)), pa.array(np.concatenate([c.view(np.int64), np.full(len(marks), np.iinfo(np.int64).min)])),
+                        pa.array(names, pa.binary()).take(pa.array(row(doc, len(names) - 1, np.int64))), pa.array(row(pos, -1, np.int32)), pa.array(row(count, 0, np.int32)),
+                    ],
+                    names=["h", "s", "c", "k", "p", "n"],
+                )
 
     return scan
 
@@ -97,8 +113,11 @@ DECIDED = "whole boolean, h long, k binary, p int"
 
 
 def _decide(batches):
-    """Sorted by (h, c): positions of repeated pairs as whole, and one position of each pair where a rank has several."""
-    last = None  # (h, c, k, p, n so far, ranks seen more than one pair, sent as a representative)
+    """Sorted by (h, s, c): positions of repeated pairs as whole, and one position of each pair where a rank has several.
+
+    At the places other than 0 a rank has several pairs for sure; at place 0 also if there is a mark.
+    """
+    last = None  # (h, s), c, k, p, n so far, sent as a representative
 
     def rows(out):
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32())], names=["whole", "h", "k", "p"])
@@ -106,40 +125,40 @@ def _decide(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, c, p, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
-        keys = batch.column(2)
+        h, s, c, p, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
+        keys = batch.column(3)
         # rows whose rank is met once only, in the inside of the batch, need no look
         lone = np.ones(len(h), bool)
-        same = h[1:] == h[:-1]
+        same = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
         lone[1:] &= ~same
         lone[:-1] &= ~same
-        lone &= n == 1
+        lone &= (n == 1) & (s == 0)
         lone[[0, -1]] = False
         out: tuple[list, ...] = ([], [], [], [])
 
         def put(whole, hh, kk, pp, out=out):
-            for o, v in zip(out, (whole, hh, kk, pp), strict=True):
-                o.append(v)
+            if pp >= 0:  # not a mark
+                for o, v in zip(out, (whole, hh, kk, pp), strict=True):
+                    o.append(v)
 
         for i in np.flatnonzero(~lone):
-            hh, cc, kk, pp, nn = int(h[i]), int(c[i]), keys[int(i)].as_py(), int(p[i]), int(n[i])
-            if last is not None and last[0] == hh:
-                if last[1] == cc:
-                    if last[4] == 1:
-                        put(True, last[0], last[2], last[3])
-                    put(True, hh, kk, pp)
-                    last[4] += nn
-                else:
-                    if not last[6]:
-                        put(False, last[0], last[2], last[3])
-                    put(False, hh, kk, pp)
-                    if nn > 1:
-                        put(True, hh, kk, pp)
-                    last = [hh, cc, kk, pp, nn, True, True]
-            else:
-                if nn > 1:
-                    put(True, hh, kk, pp)
-                last = [hh, cc, kk, pp, nn, False, False]
+            g, cc, kk, pp, nn = (int(h[i]), int(s[i])), int(c[i]), keys[int(i)].as_py(), int(p[i]), int(n[i])
+            if last is not None and last[0] == g and last[1] == cc:
+                if last[4] == 1:
+                    put(True, g[0], last[2], last[3])
+                put(True, g[0], kk, pp)
+                last[4] += nn
+                continue
+            several = g[1] > 0
+            if last is not None and last[0] == g:
+                if not last[5]:
+                    put(False, g[0], last[2], last[3])
+                several = True
+            if several:
+                put(False, g[0], kk, pp)
+            if nn > 1:
+                put(True, g[0], kk, pp)
+            last = [g, cc, kk, pp, nn, several]
         yield rows(out)
 
 
@@ -347,12 +366,12 @@ def _touched(docs: DataFrame, length: int, text: str, local_group: int) -> tuple
         raise ValueError(f"length must be at least {2 * GRAM}")
     source = docs.select(text_key(F.col(text)).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") >= length)
     n = partitions(docs)
-    pairs = source.mapInArrow(_scan(length), POSITIONS).repartition(n, "h").sortWithinPartitions("h", "c")
+    pairs = source.mapInArrow(_scan(length), POSITIONS).repartition(n, "h", "s").sortWithinPartitions("h", "s", "c")
     decided = cut(pairs.mapInArrow(_decide, DECIDED))
     whole = decided.where("whole").select("k", (F.col("p") - (length - GRAM)).alias("lo"), (F.col("p") + length).alias("hi"))
     open_ = decided.where("not whole").select("h", "k", "p")
-    hot = open_.groupBy("h").count().where(F.col("count") > local_group).select("h", F.lit(True).alias("hot"))
-    asked = open_.join(hot, "h", "left").select("k", F.struct("h", "p", F.coalesce("hot", F.lit(False)).alias("hot"), F.lit(-1).alias("part")).alias("x"))
+    hot = cut(open_.groupBy("h").count().where(F.col("count") > local_group).select("h", F.lit(True).alias("hot")))
+    asked = open_.join(F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot, "h", "left").select("k", F.struct("h", "p", F.coalesce("hot", F.lit(False)).alias("hot"), F.lit(-1).alias("part")).alias("x"))
 
     def solved(asked: DataFrame) -> DataFrame:
         listed = asked.groupBy("k").agg(F.collect_list("x").alias("asked"))

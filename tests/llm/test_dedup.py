@@ -48,8 +48,9 @@ def corpus(seed: int, n: int = 60) -> list[str | None]:
     return [*texts, *texts[10:14], " ".join(word() for _ in range(8000)) + passage[0] + word()]
 
 
-@pytest.mark.parametrize(("length", "local_group"), [(200, 16384), (64, 16384), (64, 2)])
-def test_repeated_strings_are_removed_as_brute_force_has_it(spark, length, local_group):
+@pytest.mark.parametrize(("length", "local_group", "hot"), [(200, 16384, 8), (64, 16384, 8), (64, 2, 8), (64, 2, 2), (200, 16384, 2), (200, 16384, 1)])
+def test_repeated_strings_are_removed_as_brute_force_has_it(spark, monkeypatch, length, local_group, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     texts = corpus(length + local_group)
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
     found = {r["k"]: r for r in suffix_dedup.repeated_spans(docs, length, local_group=local_group).collect()}
@@ -59,6 +60,15 @@ def test_repeated_strings_are_removed_as_brute_force_has_it(spark, length, local
         assert got == (n_removed, n_spans, sha), (n_bytes, (t or "")[:60])
 
 
+def test_a_line_that_every_text_has_many_times(spark):
+    r = random.Random(6)
+    line = "the one very common line of the whole corpus, which every text has again and again"
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(6))
+    texts = [" ".join(x for _ in range(r.randint(1, 12)) for x in (line, word(), *([line, "tail " * 30] if r.random() < 0.2 else []))) for _ in range(80)]
+    got = suffix_dedup.dedup_report(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(5))
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got.collect()} == dict(enumerate(brute_spans(texts, 200)))
+
+
 def test_report_has_a_row_for_every_row(spark):
     texts = corpus(9)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA + ", k string, n int")
