@@ -72,8 +72,16 @@ def _positions(texts: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
 
 POSITIONS = "h long, s int, c long, k binary, p int, n int"
 
-#: A rank met so often among the positions of one slice is dealt to SALTS places by its context.
-HOT, SALTS = 8, 63
+#: A rank met so often among the positions of one slice is dealt to SALTS places by its context. From place SETTLED on
+#: there are positions whose pair the slice itself has more than once: one of them stands for all, the others are settled.
+HOT, SALTS, SETTLED = 8, 63, 64
+
+
+def _again(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first of each pair that stands more than once, the others)."""
+    order = np.lexsort((c, h))
+    same = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+    return order[:-1][same & ~np.concatenate([[False], same[:-1]])], order[1:][same]
 
 
 def _scan(length: int):
@@ -94,6 +102,9 @@ def _scan(length: int):
                 count = np.array([seen[k][1] for k in names], np.int32)[doc]
                 ranks, place, met = np.unique(h, return_inverse=True, return_counts=True)
                 salt = np.where(met[place] >= HOT, 1 + c % np.uint64(SALTS), 0).astype(np.int32)
+                first, others = _again(h, c)
+                count[first] = np.maximum(count[first], 2)
+                salt[others], count[others] = SETTLED + pos[others] % SALTS, 2
                 # a mark at place 0 tells the rows there that their rank stands at other places too
                 marks = ranks[met >= HOT]
                 names.append(b"")
@@ -134,7 +145,10 @@ def _decide(batches):
         lone[:-1] &= ~same
         lone &= (n == 1) & (s == 0)
         lone[[0, -1]] = False
-        out: tuple[list, ...] = ([], [], [], [])
+        settled = s >= SETTLED
+        lone |= settled
+        at = np.flatnonzero(settled)
+        out: tuple[list, ...] = ([True] * len(at), h[at].tolist(), keys.take(pa.array(at)).to_pylist(), p[at].tolist())
 
         def put(whole, hh, kk, pp, out=out):
             if pp >= 0:  # not a mark
