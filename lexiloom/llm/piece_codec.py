@@ -77,7 +77,7 @@ class Codec:
             if len(ch) == 1:
                 self.points[ord(ch)] = i
         self.known: dict[str, str] = {}  # ids, joined, of the units met
-        self.said: dict[str, str] = {}  # and their text
+        self.said: dict[str, str] = {}  # the decoded text of those units that it differs from
         self.differ = 0
         self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 
@@ -203,7 +203,8 @@ class Codec:
                 for u, own, told in zip(part, ids, self._told(part), strict=True):
                     self.differ += own != told
                     self.known[u] = ",".join([digits[i] for i in own])
-                    self.said[u] = self.decode(own)
+                    if (text := self.decode(own)) != u.replace(MARK, " "):
+                        self.said[u] = text
 
     def _told(self, units: list[str]) -> list[list[int]]:
         """The library's ids for units: it puts a mark before a text, which units that start with one have."""
@@ -228,7 +229,7 @@ class Codec:
         out = []
         for units in cut:
             ids = ",".join(map(self.known.__getitem__, units))
-            out.append((ids.count(",") + 1 if ids else 0, ids, "".join(map(self.said.__getitem__, units))[1:]))
+            out.append((ids.count(",") + 1 if ids else 0, ids, "".join(map(self.said.get, units, units)).replace(MARK, " ")[1:]))
         return out
 
 
