@@ -64,23 +64,51 @@ def chunk_bytes(data: bytes, name: str, mode: str = "default", **options) -> lis
     return chunk_loaded(load(name, data, options.get("encoding") or "auto"), name, mode, **options)
 
 
+#: Bytes of input a core below which a table is dealt out anew before it is parsed: its scan has fewer tasks than there are cores.
+SPREAD_BYTES = 32 << 20
+#: Characters of output that are sent on at once.
+BATCH_CHARS = 2 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, a small one over all cores: one shuffle of at most SPREAD_BYTES a core; larger ones, and streams, stay as they are scanned."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def _per_file(files: DataFrame, key: str, data: str, name: str, fn, fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
     """fn(bytes, name) gives rows of fields; a file that can't be read gives one row with parse_error."""
-    source = files.select(F.col(key).alias("k"), F.col(data).cast("binary").alias("d"), F.col(name).alias("n"))
+    source = spread(files.select(F.col(key).alias("k"), F.col(data).cast("binary").alias("d"), F.col(name).alias("n")))
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):  # a row group at a time: one file in memory
+            rows: list[tuple] = []
+            at: list[int] = []
+            errors: list[str | None] = []
+            held = 0
+
+            def out(batch=batch):
+                columns = [pa.array(v, t) for v, (_, t, _) in zip(zip(*rows, strict=True), fields, strict=True)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns, pa.array(errors, pa.string())], names=[key, *(f for f, _, _ in fields), "parse_error"])  # noqa: B023
+
+            for i in range(batch.num_rows):  # one file parsed at a time
                 raw, file = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
                 try:
-                    rows, error = fn(raw or b"", file or ""), None
+                    found, error = fn(raw or b"", file or ""), None
                 except Exception as e:  # noqa: BLE001  a broken file must not end the job
-                    rows, error = [(None,) * len(fields)], f"{type(e).__name__}: {e}"
-                if not rows:
-                    continue
-                columns = [pa.array(v, t) for v, (_, t, _) in zip(zip(*rows, strict=True), fields, strict=True)]
-                keys = batch.column(0).take(pa.array([i] * len(rows), pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, *columns, pa.array([error] * len(rows), pa.string())], names=[key, *(f for f, _, _ in fields), "parse_error"])
+                    found, error = [(None,) * len(fields)], f"{type(e).__name__}: {e}"
+                rows += found
+                at += [i] * len(found)
+                errors += [error] * len(found)
+                held += len(raw or b"")
+                if held > BATCH_CHARS and rows:
+                    yield out()
+                    rows, at, errors, held = [], [], [], 0
+            if rows:
+                yield out()
 
     kind = source.schema["k"].dataType.simpleString()
     return source.mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{f} {t}" for f, _, t in fields), "parse_error string"]))
@@ -91,7 +119,7 @@ CHUNKS = [("chunk_index", pa.int32(), "int"), ("content_type", pa.string(), "str
 
 def chunk_files(files: DataFrame, mode: str = "default", key: str = "path", data: str = "content", name: str = "path", **options) -> DataFrame:
     """Chunks of a DataFrame of files (as the binaryFile source gives them): key, chunk_index, content_type, content,
-    metadata (JSON) and parse_error. Nothing is shuffled; a null or empty file has no chunks."""
+    metadata (JSON) and parse_error. Only small inputs are dealt out anew; a null or empty file has no chunks."""
     validate(mode, **{k: v for k, v in options.items() if k in OPTIONS})
 
     def fn(raw: bytes, file: str) -> list[tuple]:
