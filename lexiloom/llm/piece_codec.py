@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 LONG = 24
 #: Encoded units that a Python worker keeps; when full, it begins anew. Only speed depends on it.
-KEEP = 400_000
+KEEP = 250_000
 
 
 class Codec:
