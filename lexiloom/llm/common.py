@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
 import tempfile
@@ -67,6 +68,25 @@ def partitions(df: DataFrame, total_bytes: int | None = None, per: int = 16 << 2
     return max(n, math.ceil((total_bytes or 0) / per))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process lives on beside the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def handing_back(fn):
+    """fn over Arrow batches; when a task ends, its worker gives memory back."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that stand for a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, cut, flat, mix, pair, slices, span_digests, text_key, word_spans
+from .common import IS_SPACE, LOWER, cut, flat, handing_back, mix, pair, slices, span_digests, text_key, word_spans
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 16, 31
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     """
     source = docs.select(F.col(key).alias("doc_id"), text_key(F.col(text)).alias("k"), F.col(text).alias("t"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    signed = cut(source.mapInArrow(_sign(shingle), f"doc_id {kind}, k binary, n long, cls binary, sig binary"))
+    signed = cut(source.mapInArrow(handing_back(_sign(shingle)), f"doc_id {kind}, k binary, n long, cls binary, sig binary"))
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("k")))
     grouped = signed.where("cls is not null").groupBy("cls").agg(rep.alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     classes = cut(grouped.withColumn("id", F.monotonically_increasing_id()))
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     groups = asked.groupBy(F.col("comp").alias("g")).agg(blocks.alias("blocks"))
     looked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     found = docs.select(text_key(F.col(text)).alias("k"), F.col(key).alias("doc_id"), F.col(text).alias("t")).join(looked, "k").where(F.col("doc_id").eqNullSafe(F.col("doc")))
-    sets = found.select("id", "t", "comp", "n").mapInArrow(_sets(shingle), "g long, id long, x binary, n long").dropDuplicates(["id"])
+    sets = found.select("id", "t", "comp", "n").mapInArrow(handing_back(_sets(shingle)), "g long, id long, x binary, n long").dropDuplicates(["id"])
     part = components(_in_blocks(sets, groups, parts).mapInArrow(_true_pairs(percent), "a long, b long").distinct())
 
     comp = classes.join(part, "id", "left").select("cls", F.col("rep.doc").alias("doc"), F.coalesce("comp", "id").alias("comp"))

@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import handing_back
+
 MARK = "▁"
 LONG = 24
-#: Encoded units that a Python worker keeps; when full, it begins anew. Only speed depends on it.
-KEEP = 250_000
+#: Encoded units that a task keeps; when full, it begins anew. Only speed depends on it.
+KEEP = 200_000
 
 
 class Codec:
@@ -233,20 +235,15 @@ class Codec:
         return out
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def _run(path: str, texts: bool):
     def run(batches):
-        if path not in _codecs:  # a Python worker keeps what it has learnt
-            _codecs[path] = Codec(path)
-        codec = _codecs[path]
+        codec = Codec(path)  # anew for each task: a worker that is idle holds neither tables nor units
         for batch in batches:
             body = batch.column(1).to_pylist()
             i = 0
             while i < len(body):
                 j, size = i, 0
-                while j < len(body) and (j == i or size + len(body[j]) <= 2 << 20):
+                while j < len(body) and (j == i or size + len(body[j]) <= 1 << 20):
                     size += len(body[j])
                     j += 1
                 before = codec.differ
@@ -280,4 +277,4 @@ def transcode(docs: DataFrame, model_path: str, texts: bool = False, text: str =
     """
     source = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, differs int"
-    return source.mapInArrow(_run(model_path, texts), schema + (", ids array<int>, decoded string" if texts else ""))
+    return source.mapInArrow(handing_back(_run(model_path, texts)), schema + (", ids array<int>, decoded string" if texts else ""))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_RANK, cut, double, flat, mix, pair, partitions, slices, text_key
+from .common import BYTE_RANK, cut, double, flat, handing_back, mix, pair, partitions, slices, text_key
 
 GRAM = 32
 PAD = 255  # never a byte of UTF-8
@@ -380,7 +380,7 @@ def _touched(docs: DataFrame, length: int, text: str, local_group: int) -> tuple
         raise ValueError(f"length must be at least {2 * GRAM}")
     source = docs.select(text_key(F.col(text)).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") >= length)
     n = partitions(docs)
-    pairs = source.mapInArrow(_scan(length), POSITIONS).repartition(n, "h", "s").sortWithinPartitions("h", "s", "c")
+    pairs = source.mapInArrow(handing_back(_scan(length)), POSITIONS).repartition(n, "h", "s").sortWithinPartitions("h", "s", "c")
     decided = cut(pairs.mapInArrow(_decide, DECIDED))
     whole = decided.where("whole").select("k", (F.col("p") - (length - GRAM)).alias("lo"), (F.col("p") + length).alias("hi"))
     open_ = decided.where("not whole").select("h", "k", "p")
@@ -390,8 +390,8 @@ def _touched(docs: DataFrame, length: int, text: str, local_group: int) -> tuple
     def solved(asked: DataFrame) -> DataFrame:
         listed = asked.groupBy("k").agg(F.collect_list("x").alias("asked"))
         texts = source.join(_small(asked), "k", "left_semi").groupBy("k").agg(F.first("t").alias("t"))
-        windows = texts.join(listed, "k").select("k", "t", "asked").mapInArrow(_contexts(length), CONTEXTS)
-        return windows.repartition(n, "g").sortWithinPartitions("g", "d").mapInArrow(_solve(length, local_group), FOUND)
+        windows = texts.join(listed, "k").select("k", "t", "asked").mapInArrow(handing_back(_contexts(length)), CONTEXTS)
+        return windows.repartition(n, "g").sortWithinPartitions("g", "d").mapInArrow(handing_back(_solve(length, local_group)), FOUND)
 
     edges = cut(solved(asked))
     near = edges.where("part < 0")
@@ -407,7 +407,7 @@ def _touched(docs: DataFrame, length: int, text: str, local_group: int) -> tuple
 
 def _finished(source: DataFrame, touched: DataFrame, keys: DataFrame, length: int, texts: bool) -> DataFrame:
     own = source.join(keys, "k", "left_semi").groupBy("k").agg(F.first("t").alias("t"))
-    return own.join(touched, "k").select("k", "t", "n", "found").mapInArrow(_finish(length, texts), RESULT)
+    return own.join(touched, "k").select("k", "t", "n", "found").mapInArrow(handing_back(_finish(length, texts)), RESULT)
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, texts: bool = False, text: str = "text", local_group: int = LOCAL_GROUP) -> DataFrame:
