@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators.documents import chunk_bytes, chunk_files, markdown_files, markdown_of
+from .operators.documents import OPTIONS, chunk_bytes, chunk_files, chunk_loaded, markdown_files, markdown_of, validate
 from .operators.fit import fit_tokens
+from .sources.formats import of_pdf_markdown
 
 __all__ = [
-    "fit_tokens", "get_chunks", "get_chunks_from_bytes", "get_chunks_from_fileobj", "get_chunks_from_path", "get_chunks_from_s3_presigned_url", "get_chunks_from_upload", "get_markdown", "markdown_folder", "read_chunks",
+    "chunk_pdf_markdown", "fit_tokens", "get_chunks", "get_chunks_from_bytes", "get_chunks_from_fileobj", "get_chunks_from_path", "get_chunks_from_s3_presigned_url", "get_chunks_from_upload", "get_markdown", "markdown_folder", "read_chunks",
     "stream_chunks", "stream_chunks_from_bytes", "stream_chunks_from_fileobj", "stream_chunks_from_path", "stream_chunks_from_s3_presigned_url", "stream_chunks_from_upload",
 ]
 
@@ -67,6 +68,12 @@ def get_chunks(source, *, filename: str | None = None, mode: str = "default", **
     return get_chunks_from_fileobj(source, filename, mode, **options)
 
 
+def chunk_pdf_markdown(markdown: str, total_pages: int, mode: str = "default", **options) -> list[dict]:
+    """Chunks of a PDF that another parser has turned into Markdown."""
+    validate(mode, **{k: v for k, v in options.items() if k in OPTIONS})
+    return chunk_loaded(of_pdf_markdown(markdown, total_pages), "x.pdf", mode, **options)
+
+
 def stream_chunks(source, **options) -> Iterator[dict]:
     yield from get_chunks(source, **options)
 

@@ -159,10 +159,10 @@ def _chunk(kind: str, content: str, **metadata) -> dict:
 
 
 def _numbered(chunks: Iterable[dict], style: Style, total: int) -> list[dict]:
-    """chunk_index and document_metadata as the last keys."""
+    """chunk_index and document_metadata as the last keys; formats with facts of their own do not count blocks."""
     out = []
     for i, c in enumerate(chunks):
-        c["metadata"] |= {"chunk_index": i, "document_metadata": {"source_type": style.name, "total_input_blocks": total} | style.extra}
+        c["metadata"] |= {"chunk_index": i, "document_metadata": {"source_type": style.name} | (style.extra or {"total_input_blocks": total})}
         out.append(c)
     return out
 

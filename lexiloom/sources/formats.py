@@ -10,6 +10,7 @@ import io
 import json
 import posixpath
 import re
+import struct
 import zipfile
 from dataclasses import dataclass, field, replace
 from xml.etree import ElementTree
@@ -18,6 +19,9 @@ from ..functions.words import ENVELOPES
 from ..operators import grid, prose
 from ..operators.markup import blocks_to_markdown, front_matter, html_blocks, markdown_blocks, txt_blocks
 from ..operators.prose import HTML, MD, TXT, Block, Style
+from . import compound
+from .compound import CompoundError, binary_package, mail_item, old_deck, old_document, old_workbook
+from .pdf import PdfError, pdf_markdown
 
 FAMILIES = {
     "txt": ("txt",),
@@ -28,12 +32,16 @@ FAMILIES = {
     "eml": ("eml",),
     "mbox": ("mbox",),
     "ipynb": ("ipynb",),
-    "sheet": ("xlsx", "xlsm", "xltx", "xltm", "ods"),
+    "sheet": ("xlsx", "xlsm", "xltx", "xltm", "ods", "xls", "xlsb"),
     "docx": ("docx", "docm", "dotx", "dotm"),
     "pptx": ("pptx", "potx", "potm", "ppsx", "ppsm"),
     "odf": ("odt", "odp"),
     "epub": ("epub",),
     "rtf": ("rtf",),
+    "pdf": ("pdf",),
+    "msg": ("msg",),
+    "doc": ("doc",),
+    "ppt": ("ppt",),
 }
 FAMILY = {ext: family for family, exts in FAMILIES.items() for ext in exts}
 
@@ -458,6 +466,12 @@ def serial_text(v: str, from_1904: bool = False) -> str:
     return at.strftime("%Y-%m-%d %H:%M:%S") + (f".{at.microsecond // 1000:03d}" if at.microsecond else "")
 
 
+def _shown(v: float, code: str | int, from_1904: bool) -> str:
+    """A number of a binary workbook by the code, or the built-in number, of its format."""
+    date = _is_date(code) if isinstance(code, str) else code in DATE_FORMATS
+    return serial_text(repr(v), from_1904) if date else cell_text(repr(v))
+
+
 def _xlsx(package: _Package) -> list[tuple[str, list[grid.Row]]]:
     book, links = package.xml("xl/workbook.xml"), package.related("xl/workbook.xml")
     if book is None:
@@ -527,8 +541,11 @@ def _ods(package: _Package) -> list[tuple[str, list[grid.Row]]]:
 
 
 def _sheet(data: bytes, ext: str) -> Loaded:
-    package = _Package(data)
-    sheets = _ods(package) if ext == "ods" else _xlsx(package)
+    if data[:8] == compound.MAGIC:
+        sheets = old_workbook(data, _shown)
+    else:
+        package = _Package(data)
+        sheets = _ods(package) if ext == "ods" else _xlsx(package) if "xl/workbook.bin" not in package.names else binary_package(package, _shown)
     parts = []
     for name, rows in sheets:
         header, body = grid.sheet_header(rows)
@@ -703,6 +720,36 @@ def _rtf(data: bytes) -> Loaded:
     return Loaded(style, markdown_blocks(body), text=body.strip())
 
 
+# fixed layouts and compound files
+
+
+def of_pdf_markdown(markdown: str, pages: int) -> Loaded:
+    """A PDF that another parser has turned into Markdown."""
+    return Loaded(replace(MD, name="pdf", extra={"total_pages": pages}), markdown_blocks(markdown), text=markdown)
+
+
+def _msg(data: bytes) -> Loaded:
+    page = lambda raw: blocks_to_markdown(html_blocks(_html_text(raw)))
+    text, facts = mail_item(data, page, lambda raw: _rtf(raw).text if raw else "")
+    return Loaded(replace(MD, name="msg", extra=facts), markdown_blocks(text), text=text)
+
+
+def _doc(data: bytes) -> Loaded:
+    text = old_document(data)
+    return Loaded(replace(MD, name="doc"), markdown_blocks(text), text=text)
+
+
+def _ppt(data: bytes) -> Loaded:
+    blocks, starts, texts = [], [], []
+    for n, (title, parts) in enumerate(old_deck(data), 1):
+        if parts:
+            text = "\n\n".join(parts)
+            starts.append((len(blocks), {"slide_number": n, "slide_title": title}))
+            blocks += markdown_blocks(text)
+            texts.append(text)
+    return Loaded(replace(MD, name="ppt"), blocks, text="\n\n---\n\n".join(texts), starts=starts)
+
+
 def load(name: str, data: bytes, encoding: str = "auto") -> Loaded:
     """Parse a file by the extension of its name; csv and tsv give their text, in the encoding named."""
     ext = extension(name)
@@ -721,4 +768,8 @@ def load(name: str, data: bytes, encoding: str = "auto") -> Loaded:
     if family == "csv":
         return Loaded(replace(MD, name=ext), text=decode_named(data, encoding))
     two = {"json": _json, "sheet": _sheet, "odf": _odf}
-    return two[family](data, ext) if family in two else {"eml": _eml, "mbox": _mbox, "ipynb": _ipynb, "docx": _docx, "pptx": _pptx, "epub": _epub, "rtf": _rtf}[family](data)
+    one = {"eml": _eml, "mbox": _mbox, "ipynb": _ipynb, "docx": _docx, "pptx": _pptx, "epub": _epub, "rtf": _rtf, "pdf": lambda d: of_pdf_markdown(*pdf_markdown(d)), "msg": _msg, "doc": _doc, "ppt": _ppt}
+    try:
+        return two[family](data, ext) if family in two else one[family](data)
+    except (CompoundError, PdfError, struct.error) as e:
+        raise ParseError(f"{ext}: {e}") from None
