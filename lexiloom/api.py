@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators.documents import OPTIONS, chunk_bytes, chunk_files, chunk_loaded, markdown_files, markdown_of, validate
+from .operators.documents import OPTIONS, chunk_bytes, chunk_files, chunk_loaded, markdown_files, markdown_of, stream_bytes, validate
 from .operators.fit import fit_tokens
 from .sources.formats import of_pdf_markdown
 
@@ -74,20 +74,30 @@ def chunk_pdf_markdown(markdown: str, total_pages: int, mode: str = "default", *
     return chunk_loaded(of_pdf_markdown(markdown, total_pages), "x.pdf", mode, **options)
 
 
-def stream_chunks(source, **options) -> Iterator[dict]:
-    yield from get_chunks(source, **options)
+def stream_chunks(source, *, filename: str | None = None, mode: str = "default", **options) -> Iterator[dict]:
+    """The chunks of get_chunks as they come: a PDF's default mode reads a page at a time."""
+    if isinstance(source, (str, os.PathLike)) and not os.fspath(source).startswith(("http://", "https://")):
+        yield from stream_chunks_from_path(source, mode, **options)
+    elif isinstance(source, (bytes, bytearray)) and filename:
+        yield from stream_chunks_from_bytes(bytes(source), filename, mode, **options)
+    else:
+        yield from get_chunks(source, filename=filename, mode=mode, **options)
 
 
 def stream_chunks_from_path(path, mode: str = "default", **options) -> Iterator[dict]:
-    yield from get_chunks_from_path(path, mode, **options)
+    with open(path, "rb") as f:
+        data = f.read()
+    yield from stream_bytes(data, os.fspath(path), mode, **options)
 
 
 def stream_chunks_from_bytes(data: bytes, filename: str, mode: str = "default", **options) -> Iterator[dict]:
-    yield from get_chunks_from_bytes(data, filename, mode, **options)
+    if not data:
+        raise ValueError("data is empty")
+    yield from stream_bytes(data, filename, mode, **options)
 
 
 def stream_chunks_from_fileobj(file, filename: str, mode: str = "default", **options) -> Iterator[dict]:
-    yield from get_chunks_from_fileobj(file, filename, mode, **options)
+    yield from stream_chunks_from_bytes(_read(file), filename, mode, **options)
 
 
 def stream_chunks_from_upload(upload, mode: str = "default", **options) -> Iterator[dict]:

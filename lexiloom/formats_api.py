@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Iterator
 
 from .operators import grid
-from .operators.documents import MODES, chunk_loaded, validate
+from .operators.documents import MODES, chunk_loaded, stream_bytes, validate
 from .sources.formats import FAMILIES, FAMILY, Loaded, UnsupportedFormat, extension, load
 
 
@@ -48,13 +48,20 @@ def _call(family: str) -> tuple[Callable, Callable]:
             raise UnsupportedFormat(f"unsupported file extension: .{extension(name)}")
         began = time.perf_counter()
         with open(name, "rb") as f:
-            doc = load(name, f.read(), options.get("encoding", "auto"))
+            data = f.read()
+        lazy = family == "pdf" and mode in (None, "default")  # read while it is chunked
+        doc = None if lazy else load(name, data, options.get("encoding", "auto"))
         read = time.perf_counter()
-        out = chunk(doc, name, **({"mode": mode} if mode else {}), **options)
+        out = list(stream_bytes(data, name, "default", **options)) if lazy else chunk(doc, name, **({"mode": mode} if mode else {}), **options)
         return out, {"read_ms": 1000 * (read - began), "chunk_ms": 1000 * (time.perf_counter() - read)}
 
     def stream(path: str | os.PathLike, mode: str | None = None, **options) -> Iterator[dict]:
-        yield from chunks(path, mode, **options)[0]
+        name = os.fspath(path)
+        if family == "pdf" and extension(name) == "pdf" and mode in (None, "default"):
+            with open(name, "rb") as f:
+                yield from stream_bytes(f.read(), name, "default", **options)
+        else:
+            yield from chunks(path, mode, **options)[0]
 
     chunks.__name__, stream.__name__ = f"chunk_{family}", f"stream_chunk_{family}"
     chunks.__doc__ = f"Chunks of a {family} file ({', '.join(FAMILIES[family])}) and the milliseconds that reading and chunking took."

@@ -33,5 +33,16 @@ SECTION_MAX = 2000
 WINDOW_MAX = 6000
 SHEET_MAX = 2000
 
+# fixed values: sizes in the structural mode of word-processor files
+WORD_LONG = 500
+WORD_SHORT = 80
+WORD_PACK = 900
+WORD_SECTION = 1200
+WORD_TABLE = 6000
+
+# fixed values: marks that end a sentence there, and what may follow them
+WORD_ENDS = [".", "!", "?", "\u3002", "\uff01", "\uff1f", "\u061f", "\u05c3"]
+WORD_CLOSERS = ['"', "'", ")", "]", "\u201d", "\u2019", " "]
+
 # fixed values: keys of a JSON object that holds its records
 ENVELOPES = ["features", "data", "results", "items", "records", "rows"]

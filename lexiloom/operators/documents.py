@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import bisect
 import json
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.formats import FAMILY, Loaded, UnsupportedFormat, extension, load
+from ..sources.formats import FAMILY, Loaded, UnsupportedFormat, extension, load, pdf_blocks
 from . import grid, prose
+from .word import word_structural
 
 MODES = ("default", "structural", "section", "semantic", "sentence", "sliding_window", "page_aware")
 SHEET_MODES = ("default", "row", "table", "sheet", *MODES[1:])
@@ -39,6 +41,8 @@ def chunk_loaded(doc: Loaded, name: str, mode: str = "default", *, window_size:
     more = {"sentence": {"sentences_per_chunk": sentences_per_chunk}, "sliding_window": {"window_size": window_size, "overlap": overlap}, "page_aware": {"paragraphs_per_page": paragraphs_per_page}}
     if mode not in prose.MODES:
         raise ValueError(f"mode {mode!r} is only for spreadsheets")
+    if doc.word is not None and prose.MODES[mode] is prose.structural:
+        return word_structural(doc.word)
     run = lambda blocks: prose.MODES[mode](blocks, doc.style, **more.get(mode, {}))
     if not doc.starts:
         return run(doc.blocks)
@@ -61,9 +65,20 @@ def owner(starts: list[int], block: int) -> int:
 
 def chunk_bytes(data: bytes, name: str, mode: str = "default", **options) -> list[dict]:
     validate(mode, **{k: v for k, v in options.items() if k in OPTIONS})
+    if mode == "default" and extension(name) == "pdf":
+        return list(stream_bytes(data, name, mode, **options))
     return chunk_loaded(load(name, data, options.get("encoding") or "auto"), name, mode, **options)
 
 
+def stream_bytes(data: bytes, name: str, mode: str = "default", **options) -> Iterator[dict]:
+    """chunk_bytes, one by one. In the default mode of PDFs a page is read when its chunks are asked for, and headings are ranked within it."""
+    if mode != "default" or extension(name) != "pdf":
+        yield from chunk_bytes(data, name, mode, **options)
+        return
+    validate(mode, **{k: v for k, v in options.items() if k in OPTIONS})
+    yield from prose.structural_chunks(*pdf_blocks(data))
+
+
 #: Bytes of input a core below which a table is dealt out anew before it is parsed: its scan has fewer tasks than there are cores.
 SPREAD_BYTES = 32 << 20
 #: Characters of output that are sent on at once.

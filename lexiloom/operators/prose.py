@@ -10,7 +10,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import chain, groupby
 from typing import NamedTuple
 
 from ..functions.splits import docx_sentences, md_sentences
@@ -144,14 +144,16 @@ def keywords(text: str) -> frozenset[str]:
     return frozenset(w for w in re.split("[^a-z0-9]+", low) if len(w) >= 4) - _STOP
 
 
-def place(blocks: Iterable[Block]) -> list[Placed]:
+def placed(blocks: Iterable[Block]) -> Iterator[Placed]:
     above: tuple[tuple[int, str], ...] = ()
-    out = []
     for b in blocks:
         if b.type == "heading":
             above = (*(x for x in above if x[0] < b.level), (b.level, b.title or b.content))
-        out.append(Placed(b, above))
-    return out
+        yield Placed(b, above)
+
+
+def place(blocks: Iterable[Block]) -> list[Placed]:
+    return list(placed(blocks))
 
 
 def _chunk(kind: str, content: str, **metadata) -> dict:
@@ -167,32 +169,43 @@ def _numbered(chunks: Iterable[dict], style: Style, total: int) -> list[dict]:
     return out
 
 
-def structural(blocks: list[Block], style: Style) -> list[dict]:
-    """Headings, tables, code and lists alone; prose in runs of up to PROSE_MAX bytes; short ones join those before."""
+def structural_chunks(blocks: Iterable[Block], style: Style) -> Iterator[dict]:
+    """Headings, tables, code and lists alone; prose in runs of up to PROSE_MAX bytes; short ones join those before.
+
+    Blocks are taken as chunks are asked for; only the last chunk and the one in the making are held.
+    """
 
     def meta(heading: str | None) -> dict:
         fixed = {"footnotes_captions": [], "page_number": None} if style.name in ("txt", "html") else {}
         return {"section_heading": heading, **fixed, "document_metadata": {"source_type": style.name} | style.extra}
 
-    out: list[dict] = []
-    for is_prose, run in groupby(place(blocks), key=lambda p: p.block.type in PROSE):
-        if not is_prose:
-            out += [_chunk(p.block.type, p.block.title or p.block.content, **meta(None)) if p.block.type == "heading" else _chunk(p.block.type, p.block.content, **meta(p.heading)) for p in run]
-            continue
-        run = list(run)
-        parts = [x for p in run for x in (pack_sentences(p.block.content, PROSE_MAX) if size(p.block.content) > PROSE_MAX else [p.block.content])]
-        for group in batches_of(parts, PROSE_MAX, lambda s: size(s) + 1):
-            if text := "\n".join(group).strip():
-                out.append(_chunk(prose_type(text), text, **meta(run[0].heading)))
-    merged: list[dict] = []
-    for c in out:
-        last = merged[-1] if merged else None
+    def whole() -> Iterator[dict]:
+        for is_prose, run in groupby(placed(blocks), key=lambda p: p.block.type in PROSE):
+            if not is_prose:
+                for p in run:
+                    yield _chunk(p.block.type, p.block.title or p.block.content, **meta(None)) if p.block.type == "heading" else _chunk(p.block.type, p.block.content, **meta(p.heading))
+                continue
+            first = next(run)
+            parts = (x for p in chain([first], run) for x in (pack_sentences(p.block.content, PROSE_MAX) if size(p.block.content) > PROSE_MAX else [p.block.content]))
+            for group in batches_of(parts, PROSE_MAX, lambda s: size(s) + 1):
+                if text := "\n".join(group).strip():
+                    yield _chunk(prose_type(text), text, **meta(first.heading))
+
+    last: dict | None = None
+    for c in whole():
         if last and c["content_type"] in PROSE and last["content_type"] in PROSE and size(c["content"]) < PROSE_MIN and size(last["content"]) + size(c["content"]) < PROSE_MAX + PROSE_MIN:
             last["content"] = f"{last['content']}\n{c['content']}".strip()
             last["content_type"] = prose_type(last["content"])
-        else:
-            merged.append(c)
-    return merged
+            continue
+        if last:
+            yield last
+        last = c
+    if last:
+        yield last
+
+
+def structural(blocks: list[Block], style: Style) -> list[dict]:
+    return list(structural_chunks(blocks, style))
 
 
 _SECTION_NAMES = {"bullet_list": "list", "code_block": "code_block", "table": "table"} | dict.fromkeys(PROSE, "paragraph")

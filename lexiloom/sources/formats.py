@@ -12,6 +12,7 @@ import posixpath
 import re
 import struct
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from xml.etree import ElementTree
 
@@ -21,7 +22,8 @@ from ..operators.markup import blocks_to_markdown, front_matter, html_blocks, ma
 from ..operators.prose import HTML, MD, TXT, Block, Style
 from . import compound
 from .compound import CompoundError, binary_package, mail_item, old_deck, old_document, old_workbook
-from .pdf import PdfError, pdf_markdown
+from .pdf import PdfError, pdf_pages
+from .word import Word, read_word, word_blocks, word_markdown
 
 FAMILIES = {
     "txt": ("txt",),
@@ -63,6 +65,7 @@ class Loaded:
     sheets: list[tuple[str, list[grid.Row]]] | None = None
     text: str = ""
     starts: list[tuple[int, dict]] = field(default_factory=list)
+    word: Word | None = None  # for the structural mode of word-processor files
 
 
 def extension(name: str) -> str:
@@ -320,61 +323,17 @@ def _all(e, name: str):
     return (x for x in e.iter() if _local(x) == name)
 
 
-def _docx_text(p) -> str:
-    out = []
-    for x in p.iter():
-        kind = _local(x)
-        if kind == "t":
-            out.append(x.text or "")
-        elif kind == "tab" and not x.attrib:
-            out.append("\t")
-        elif kind == "br" and _attr(x, "type") != "page" or kind == "cr":
-            out.append("\n")
-    return "".join(out).strip()
-
-
 def _docx(data: bytes) -> Loaded:
-    package = _Package(data)
-    root = package.xml("word/document.xml")
-    if root is None:
+    def imported(part: bytes, name: str) -> list[Block]:
+        try:
+            return load(name, part).blocks if FAMILY.get(extension(name)) in ("docx", "html", "txt", "rtf") else []
+        except ParseError:
+            return []
+
+    found = read_word(_Package(data), imported)
+    if found is None:
         raise ParseError("word/document.xml is missing")
-    blocks: list[Block] = []
-    items: list[str] = []
-
-    def close() -> None:
-        if items:
-            blocks.append(Block("bullet_list", "\n".join(items)))
-            items.clear()
-
-    body = next(_all(root, "body"), root)
-    for e in body:
-        if _local(e) == "p":
-            text = _docx_text(e)
-            style = next((_attr(x, "val") or "" for x in _all(e, "pStyle")), "")
-            outline = next((_attr(x, "val") for x in _all(e, "outlineLvl")), None)
-            titled = re.match(r"(?i)(heading|titre|überschrift|title)\s*(\d*)", style)
-            if not text:
-                continue
-            if titled or outline is not None and int(outline) < 9:
-                close()
-                blocks.append(Block("heading", text, int(titled[2] or 1) if titled else int(outline) + 1, text))
-            elif any(True for _ in _all(e, "numPr")) or style.lower().startswith("list"):
-                items.append(f"- {text}")
-            else:
-                close()
-                blocks += [Block(prose.prose_type(x), x) for x in prose.pack_text(text, prose.PROSE_MAX)]
-        elif _local(e) == "tbl":
-            close()
-            rows = [" | ".join(_docx_text(c).replace("\n", " ") for c in r if _local(c) == "tc") for r in e if _local(r) == "tr"]
-            if any(r.strip(" |") for r in rows):
-                blocks.append(Block("table", "\n".join(rows)))
-    close()
-    for part in ("word/footnotes.xml", "word/endnotes.xml"):
-        notes = package.xml(part)
-        for n in notes if notes is not None else ():
-            if _attr(n, "type") is None and (text := _docx_text(n)):
-                blocks.append(Block("footnote_caption", text))
-    return Loaded(replace(MD, name="docx"), blocks, text=blocks_to_markdown(blocks))
+    return Loaded(replace(MD, name="docx"), word_blocks(found), text=word_markdown(found), word=found)
 
 
 def _pptx(data: bytes) -> Loaded:
@@ -725,7 +684,34 @@ def _rtf(data: bytes) -> Loaded:
 
 def of_pdf_markdown(markdown: str, pages: int) -> Loaded:
     """A PDF that another parser has turned into Markdown."""
-    return Loaded(replace(MD, name="pdf", extra={"total_pages": pages}), markdown_blocks(markdown), text=markdown)
+    return Loaded(_pdf_style(pages), markdown_blocks(markdown), text=markdown)
+
+
+def _pdf_style(pages: int) -> Style:
+    return replace(MD, name="pdf", extra={"total_pages": pages})
+
+
+def _pdf(data: bytes) -> Loaded:
+    n, texts = pdf_pages(data)
+    found = list(texts)
+    return Loaded(_pdf_style(n), [b for t in found for b in markdown_blocks(t)], text="\n\n---\n\n".join(found))
+
+
+def pdf_blocks(data: bytes) -> tuple[Iterator[Block], Style]:
+    """Blocks of a PDF page by page, as they are asked for; headings are ranked within a page."""
+    try:
+        n, texts = pdf_pages(data, each_page=True)
+    except PdfError as e:
+        raise ParseError(f"pdf: {e}") from None
+
+    def blocks() -> Iterator[Block]:
+        try:
+            for t in texts:
+                yield from markdown_blocks(t)
+        except PdfError as e:
+            raise ParseError(f"pdf: {e}") from None
+
+    return blocks(), _pdf_style(n)
 
 
 def _msg(data: bytes) -> Loaded:
@@ -768,8 +754,8 @@ def load(name: str, data: bytes, encoding: str = "auto") -> Loaded:
     if family == "csv":
         return Loaded(replace(MD, name=ext), text=decode_named(data, encoding))
     two = {"json": _json, "sheet": _sheet, "odf": _odf}
-    one = {"eml": _eml, "mbox": _mbox, "ipynb": _ipynb, "docx": _docx, "pptx": _pptx, "epub": _epub, "rtf": _rtf, "pdf": lambda d: of_pdf_markdown(*pdf_markdown(d)), "msg": _msg, "doc": _doc, "ppt": _ppt}
+    one = {"eml": _eml, "mbox": _mbox, "ipynb": _ipynb, "docx": _docx, "pptx": _pptx, "epub": _epub, "rtf": _rtf, "pdf": _pdf, "msg": _msg, "doc": _doc, "ppt": _ppt}
     try:
         return two[family](data, ext) if family in two else one[family](data)
-    except (CompoundError, PdfError, struct.error) as e:
+    except (CompoundError, PdfError, RecursionError, struct.error) as e:
         raise ParseError(f"{ext}: {e}") from None

@@ -11,6 +11,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from statistics import median
 from typing import NamedTuple
@@ -645,7 +646,7 @@ def _escaped(text: str) -> str:
     return re.sub(r"^(#|>|\||```|~~~)", r"\\\1", text)
 
 
-def _blocks(lines: list[Line], levels: dict[float, int], body: float) -> list[str]:
+def _blocks(lines: list[Line], levels: dict[float, int]) -> list[str]:
     tables = dict(_tables(lines))
     right = max((n.end for n in lines), default=0)
     out: list[str] = []
@@ -702,34 +703,59 @@ def _blocks(lines: list[Line], levels: dict[float, int], body: float) -> list[st
     return out
 
 
-def pdf_markdown(data: bytes) -> tuple[str, int]:
-    """Markdown of a PDF's text, its pages joined by a rule, and how many pages there are.
+def _laid(doc: Document, page: dict, fonts: dict) -> list[list[Line]]:
+    """Lines of a page by region, in reading order."""
+    content = doc.entry(page, "Contents", [])
+    streams = [s for s in map(doc.get, content if isinstance(content, list) else [content]) if isinstance(s, Stream)]
+    view = _Page(doc, fonts)
+    view.run(b"\n".join(map(doc.bytes_of, streams)), page.get("Resources"), _State())
+    return [[n for r in _rows(part) if (n := _line(r, bool(turn)))] for turn in sorted(view.found) for part in _regions(view.found[turn])]
 
-    Headings are sizes above 1.12 times the one that most characters have, ranked over the whole document, and single
-    bold lines, one level below them.
-    """
-    doc = Document(data)
-    pages = doc.pages()
-    if not pages:
-        raise PdfError("the PDF has no pages")
-    fonts: dict = {}
+
+def _ranks(pages: Iterable[list[list[Line]]]) -> dict[float, int]:
+    """Heading level by size: sizes above 1.12 times the one that most characters have."""
     sizes: Counter = Counter()
-    laid: list[list[list[Line]]] = []
-    for page in pages:
-        content = doc.entry(page, "Contents", [])
-        streams = [s for s in map(doc.get, content if isinstance(content, list) else [content]) if isinstance(s, Stream)]
-        view = _Page(doc, fonts)
-        view.run(b"\n".join(map(doc.bytes_of, streams)), page.get("Resources"), _State())
-        parts = [[n for r in _rows(part) if (n := _line(r, bool(turn)))] for turn in sorted(view.found) for part in _regions(view.found[turn])]
-        laid.append(parts)
-        for part in parts:
-            for n in part:
-                sizes[n.size] += len(n.text)
+    for parts in pages:
+        for n in (n for part in parts for n in part):
+            sizes[n.size] += len(n.text)
     if not sizes:
-        raise PdfError("the PDF has no text layer")
+        return {}
     body = sizes.most_common(1)[0][0]
     enough = max(8, sum(sizes.values()) / 500)
     ranks = sorted((s for s, n in sizes.items() if s > 1.12 * body and n >= enough), reverse=True)
-    levels = {s: min(i, 6) for i, s in enumerate(ranks, 1)}
-    texts = ["\n\n".join(b for part in parts for b in _blocks(part, levels, body)) for parts in laid]
-    return "\n\n---\n\n".join(t for t in texts if t), len(pages)
+    return {s: min(i, 6) for i, s in enumerate(ranks, 1)}
+
+
+def pdf_pages(data: bytes, each_page: bool = False) -> tuple[int, Iterator[str]]:
+    """How many pages a PDF has, and the Markdown of those with text.
+
+    Headings, and single bold lines one level below them, are ranked over the whole document; with each_page, within the
+    page, which is then read no sooner than it is asked for. A document without text is an error, told at its end.
+    """
+    doc = Document(data)
+    pages = doc.pages()
+    if not pages:
+        raise PdfError("the PDF has no pages")
+
+    def texts() -> Iterator[str]:
+        fonts: dict = {}
+        laid = (_laid(doc, page, fonts) for page in pages)
+        if not each_page:
+            laid = list(laid)
+            whole = _ranks(laid)
+        any_text = False
+        for parts in laid:
+            levels = _ranks([parts]) if each_page else whole
+            if text := "\n\n".join(b for part in parts for b in _blocks(part, levels)):
+                any_text = True
+                yield text
+        if not any_text:
+            raise PdfError("the PDF has no text layer")
+
+    return len(pages), texts()
+
+
+def pdf_markdown(data: bytes) -> tuple[str, int]:
+    """Markdown of a PDF's text, its pages joined by a rule, and how many pages there are."""
+    n, texts = pdf_pages(data)
+    return "\n\n---\n\n".join(texts), n

@@ -11,7 +11,7 @@ import pytest
 from lexiloom import api
 from lexiloom.operators.documents import chunk_files
 from lexiloom.sources.compound import Compound, rtf_inflated
-from lexiloom.sources.formats import ParseError, load
+from lexiloom.sources.formats import ParseError, load, pdf_blocks
 from lexiloom.sources.pdf import Document, _lzw, _run_length, _unpredicted, glyph_text, pdf_markdown
 
 # PDF
@@ -132,6 +132,32 @@ def test_damaged_files_end_and_cycles_too():
     assert Document(cyclic).pages() == []
 
 
+def test_the_default_mode_reads_page_by_page(tmp_path, monkeypatch):
+    from lexiloom import formats_api
+    from lexiloom.sources import pdf as reader
+
+    pages = [shown(72, 720, f"Chapter {i} of it", 18) + b"".join(shown(72, 690 - 12 * k, f"{i} {t}") for k, t in enumerate(PROSE)) for i in range(50)]
+    data = pdf(*pages)
+    read, real = [], reader._laid
+    monkeypatch.setattr(reader, "_laid", lambda *a: read.append(1) or real(*a))
+    stream = api.stream_chunks(data, filename="x.pdf")
+    first = next(stream)
+    assert first["content"] == "Chapter 0 of it" and len(read) <= 2
+    assert [first, *stream] == api.get_chunks(data, filename="x.pdf") and len(read) == 100
+    (tmp_path / "x.pdf").write_bytes(data)
+    assert list(formats_api.CALLS["stream_chunk_pdf"](tmp_path / "x.pdf")) == formats_api.CALLS["chunk_pdf"](tmp_path / "x.pdf")[0] == api.get_chunks(data, filename="x.pdf")
+    with pytest.raises(ParseError, match="no text layer"):
+        list(api.stream_chunks(pdf(b"0 0 m"), filename="x.pdf"))
+
+
+def test_headings_are_ranked_in_the_page_by_default_and_in_the_document_else():
+    data = pdf(REPORT.replace(b"/F1 18", b"/F1 14"), REPORT)
+    level = lambda mode: [c["metadata"].get("section_level") for c in api.get_chunks(data, filename="x.pdf", mode=mode) if c["content"] == "Annual Report"]
+    markdown = pdf_markdown(data)[0]
+    assert "## Annual Report" in markdown and "\n# Annual Report" in markdown and level("section") == [2, 1]
+    assert [b.level for b in pdf_blocks(data)[0] if b.title == "Annual Report"] == [1, 1]
+
+
 def test_markdown_of_another_parser():
     chunks = api.chunk_pdf_markdown("# A\n\nText of a page.", 7)
     assert chunks[-1]["metadata"]["document_metadata"] == {"source_type": "pdf", "total_pages": 7}
