@@ -29,7 +29,7 @@ def _sheet(doc: Loaded, name: str, mode: str = "row", rows_per_chunk: int = 1, w
     _options_of_sheets(mode, rows_per_chunk, window_size, overlap)
     if serialize_as not in ("key_value", "values"):
         raise ValueError(f"serialize_as must be 'key_value' or 'values', got {serialize_as!r}")
-    return grid.sheet_chunks(doc.sheets or [], mode, rows_per_chunk, window_size, overlap, sheet_names, serialize_as, max_chunk_chars)
+    return grid.sheet_chunks(doc.sheets or [], mode, rows_per_chunk, window_size, overlap, sheet_names, serialize_as, max_chunk_chars, doc.marks)
 
 
 def _prose(doc: Loaded, name: str, mode: str = "default", **options) -> list[dict]:

@@ -37,7 +37,7 @@ def chunk_loaded(doc: Loaded, name: str, mode: str = "default", *, window_size:
         return grid.csv_chunks(doc.text, "sliding_window" if mode == "sliding_window" else "row", per, window_size, overlap, delimiter="\t" if ext == "tsv" else delimiter, encoding=encoding)
     if doc.sheets is not None:
         per = 1 if sentences_per_chunk == OPTIONS["sentences_per_chunk"] else sentences_per_chunk
-        return grid.sheet_chunks(doc.sheets, "row" if mode == "sentence" else mode, per, window_size, overlap)
+        return grid.sheet_chunks(doc.sheets, "row" if mode == "sentence" else mode, per, window_size, overlap, marks=doc.marks)
     more = {"sentence": {"sentences_per_chunk": sentences_per_chunk}, "sliding_window": {"window_size": window_size, "overlap": overlap}, "page_aware": {"paragraphs_per_page": paragraphs_per_page}}
     if mode not in prose.MODES:
         raise ValueError(f"mode {mode!r} is only for spreadsheets")

@@ -6,6 +6,7 @@ import csv
 import io
 import re
 from collections import Counter
+from typing import NamedTuple
 
 from ..functions.words import SEMANTIC_MAX, SHEET_MAX
 from .prose import batches_of, size
@@ -104,18 +105,39 @@ class Typed(str):
     __slots__ = ()
 
 
-def sheet_header(rows: list[Row]) -> tuple[Row, list[Row]]:
-    """The first filled row is the header if all its cells are text, or texts follow one number; a sheet of only that row has it as data too."""
-    filled = _trimmed(rows)
+class Marks(NamedTuple):
+    """What a sheet says of its ranges: (name, first row, first column, last row, last column), from 0."""
+
+    tables: list[tuple[str, int, int, int, int]] = []
+    areas: list[tuple[int, int, int, int]] = []  # to print
+    names: list[tuple[str, int, int, int, int]] = []
+
+
+def data_rows(rows: list[Row]) -> tuple[Row, list[tuple[int, Row]]]:
+    """(header, filled rows below it with their places). The first filled row is the header if all its cells are text, or
+    texts follow one number; a sheet of only that row has it as data too."""
+    filled = [(i, r) for i, r in enumerate(rows) if any(c.strip() for c in r)]
     if not filled:
         return [], []
-    first = filled[0]
+    first = filled[0][1]
     texts = [not isinstance(c, Typed) for c in first if c.strip()]
     if all(texts) or (len(texts) > 1 and not texts[0] and all(texts[1:])):
         return first, filled[1:] or filled[:1]
     return [""] * len(first), filled
 
 
+def sheet_header(rows: list[Row]) -> tuple[Row, list[Row]]:
+    header, data = data_rows(rows)
+    return header, [r for _, r in data]
+
+
+def column_letters(j: int) -> str:
+    out = ""
+    while j >= 0:
+        out, j = chr(65 + j % 26) + out, j // 26 - 1
+    return out
+
+
 def regions(rows: list[Row]) -> list[tuple[int, int, int, int]]:
     """(first row, last row, first column, last column) of every run of rows that aren't empty."""
     out, start = [], None
@@ -140,7 +162,20 @@ def category_column(header: Row, rows: list[Row]) -> int | None:
     return best[1] if best else None
 
 
-def sheet_chunks(sheets: list[tuple[str, list[Row]]], mode: str = "row", rows_per_chunk: int = 1, window_size: int = 3, overlap: int = 1, sheet_names: list[str] | None = None, serialize_as: str = "key_value", max_chunk_chars: int = SHEET_MAX) -> list[dict]:
+def _cells(row: Row, left: int, right: int) -> Row:
+    part = row[left : right + 1]
+    return part + [""] * (right - left + 1 - len(part))
+
+
+def _parts(rows: list[tuple[int, Row]], show, limit: int):
+    """(places, lines, split facts) of rows whose lines fit together into limit bytes."""
+    parts = list(batches_of(((i, show(r)) for i, r in rows), limit + 1, lambda x: size(x[1]) + 1))
+    for k, part in enumerate(parts):
+        yield [i for i, _ in part], [line for _, line in part], {"is_split": len(parts) > 1, "split_part": k if len(parts) > 1 else None}
+
+
+def sheet_chunks(sheets: list[tuple[str, list[Row]]], mode: str = "row", rows_per_chunk: int = 1, window_size: int = 3, overlap: int = 1, sheet_names: list[str] | None = None, serialize_as: str = "key_value", max_chunk_chars: int = SHEET_MAX, marks: list[Marks] | None = None) -> list[dict]:
+    """Chunks of sheets. Places of rows and columns count from 0; declared tables, where a sheet has any, stand for its regions."""
     known = [n for n, _ in sheets]
     if unknown := [n for n in sheet_names or () if n not in known]:
         raise ValueError(f"unknown sheet names: {', '.join(unknown)}")
@@ -148,13 +183,14 @@ def sheet_chunks(sheets: list[tuple[str, list[Row]]], mode: str = "row", rows_pe
     for at, (name, rows) in enumerate(sheets):
         if sheet_names and name not in sheet_names:
             continue
-        header, data = sheet_header(rows)
+        header, places = data_rows(rows)
+        data = [r for _, r in places]
         if not data:
             continue
+        mark = marks[at] if marks else Marks()
         head = names(header, max(map(len, data)))
         show = lambda r, h=head: render(r, h, serialize_as == "key_value")
         where = {"sheet_name": name, "sheet_index": at, "header_row": head, "col_count": len(head)}
-        packed = lambda ls: ["\n".join(b) for b in batches_of(ls, max_chunk_chars + 1, lambda s: size(s) + 1)]
         if mode in ("default", "row"):
             for i, k in enumerate(range(0, len(data), rows_per_chunk)):
                 part = data[k : k + rows_per_chunk]
@@ -162,17 +198,35 @@ def sheet_chunks(sheets: list[tuple[str, list[Row]]], mode: str = "row", rows_pe
         elif mode == "sliding_window":
             for i, k in enumerate(range(0, len(data), window_size - overlap)):
                 part = data[k : k + window_size]
-                out.append(_chunk("row_window", "\n".join(map(show, part)), **where, window_index=i, window_size=window_size, overlap=overlap, row_start=k + 1, row_end=k + len(part), actual_row_count=len(part)))
-        elif mode in ("sheet", "section", "page_aware"):
-            kind = "sheet_region" if mode == "page_aware" else "sheet"
-            parts = packed(list(map(show, data)))
-            out += [_chunk(kind, p, **where, split_part=i if len(parts) > 1 else None, split_total=len(parts) if len(parts) > 1 else None) for i, p in enumerate(parts, 1)]
+                out.append(_chunk("row_window", "\n".join(map(show, part)), **where, window_index=i, window_size=window_size, overlap=overlap, start_row=places[k][0], end_row=places[k + len(part) - 1][0], actual_row_count=len(part)))
+        elif mode in ("sheet", "section"):
+            named = [t[0] for t in mark.tables] or [n[0] for n in mark.names]
+            for _, lines, split in _parts(places, show, max_chunk_chars):
+                out.append(_chunk("sheet", "\n".join(lines), **where, row_count=len(lines), has_named_tables=bool(named), named_tables=named, **split))
+        elif mode == "page_aware":
+            areas = mark.areas or [None]
+            for n, area in enumerate(areas):
+                top, left, bottom, right = area or (0, 0, len(rows) - 1, len(head) - 1)
+                h, body = data_rows([_cells(r, left, right) for r in rows[top : bottom + 1]])
+                hh = names(h, right - left + 1)
+                ref = f"{column_letters(left)}{top + 1}:{column_letters(right)}{bottom + 1}" if area else None
+                for _, lines, split in _parts(body, lambda r, hh=hh: render(r, hh, serialize_as == "key_value"), max_chunk_chars):
+                    facts = {"has_print_area": area is not None, "print_area_ref": ref, "start_row": top, "end_row": bottom, "start_col": left, "end_col": right, "row_count": len(lines), "region_index": n if area else split["split_part"] or 0}
+                    out.append(_chunk("sheet_region", "\n".join(lines), **where | {"header_row": hh, "col_count": right - left + 1}, **facts, **split))
         elif mode in ("table", "structural"):
-            for n, (top, bottom, left, right) in enumerate(regions(rows)):
-                h, body = sheet_header([r[left : right + 1] for r in rows[top : bottom + 1]])
+            found = [(t[0], *t[1:]) for t in mark.tables]
+            own = bool(found)
+            for top, bottom, left, right in [] if own else regions(rows):
+                within = next((n[0] for n in mark.names if n[1] <= top and n[2] <= left and n[3] >= bottom and n[4] >= right), None)
+                found.append((within, top, left, bottom, right))
+            for called, top, left, bottom, right in found:
+                cells = [_cells(r, left, right) for r in rows[top : bottom + 1]]
+                # a declared table has a header; what only holds that has it as data too
+                h, body = (cells[0], [(i, r) for i, r in enumerate(cells) if i and any(c.strip() for c in r)] or [(0, r) for r in cells[:1] if any(c.strip() for c in r)]) if own and cells else data_rows(cells)
                 hh = names(h, right - left + 1)
-                parts = packed([render(r, hh, serialize_as == "key_value") for r in body])
-                out += [_chunk("table_region", p, sheet_name=name, sheet_index=at, header_row=hh, region_index=n, row_start=top + 1, row_end=bottom + 1, col_start=left + 1, col_end=right + 1, split_part=i if len(parts) > 1 else None, split_total=len(parts) if len(parts) > 1 else None) for i, p in enumerate(parts, 1)]
+                for at_rows, lines, split in _parts(body, lambda r, hh=hh: render(r, hh, serialize_as == "key_value"), max_chunk_chars):
+                    facts = {"table_name": called, "is_named_table": called is not None, "header_row": hh, "start_row": top + at_rows[0], "end_row": top + at_rows[-1], "start_col": left, "end_col": right, "row_count": len(lines), "col_count": right - left + 1}
+                    out.append(_chunk("table_region", "\n".join(lines), sheet_name=name, sheet_index=at, **facts, **split))
         elif mode == "semantic":
             j = category_column(head, data)
             key = (lambda r: r[j].strip() if j < len(r) else "") if j is not None else None

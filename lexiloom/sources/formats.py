@@ -63,6 +63,7 @@ class Loaded:
     style: Style
     blocks: list[Block] = field(default_factory=list)
     sheets: list[tuple[str, list[grid.Row]]] | None = None
+    marks: list[grid.Marks] | None = None  # of the sheets
     text: str = ""
     starts: list[tuple[int, dict]] = field(default_factory=list)
     word: Word | None = None  # for the structural mode of word-processor files
@@ -499,17 +500,61 @@ def _ods(package: _Package) -> list[tuple[str, list[grid.Row]]]:
     return out
 
 
+#: Names of ranges that spreadsheets set by themselves. Fixed values.
+ODS_OWN_NAMES = ["Print_Area", "Print_Range", "Repeat_Row", "Repeat_Column"]
+
+
+def _range(ref: str) -> tuple[int, int, int, int] | None:
+    """(first row, first column, last row, last column) of `Sheet!$A$1:$C$4`, `$Sheet.$A$1:.$C$4` or one cell."""
+    ends = re.findall(r"(?:^|[!.:$'\s])\$?([A-Z]{1,3})\$?(\d+)(?=$|:)", ref)
+    if not ends:
+        return None
+    (a, b), (c, d) = ends[0], ends[-1]
+    return min(int(b), int(d)) - 1, min(_column(a), _column(c)), max(int(b), int(d)) - 1, max(_column(a), _column(c))
+
+
+def _xlsx_marks(package: _Package) -> list[grid.Marks]:
+    book, links = package.xml("xl/workbook.xml"), package.related("xl/workbook.xml")
+    out = []
+    for s in _all(book, "sheet"):
+        parts = [package.xml(t) for t in package.related(links.get(_attr(s, "id"), "")).values() if "/tables/" in t]
+        found = [(t.get("name") or t.get("displayName"), r) for t in parts if t is not None and (r := _range(t.get("ref") or ""))]
+        out.append(grid.Marks([(n, *r) for n, r in found], [], []))
+    for d in _all(book, "definedName"):
+        at = d.get("localSheetId") or ""
+        if d.get("name") == "_xlnm.Print_Area" and at.isdigit() and int(at) < len(out):
+            out[int(at)].areas.extend(r for part in (d.text or "").split(",") if (r := _range(part.strip())))
+    return out
+
+
+def _ods_marks(package: _Package) -> list[grid.Marks]:
+    root = package.xml("content.xml")
+    out = {_attr(t, "name"): grid.Marks([], [], []) for t in _all(root, "table")}
+    for n in _all(root, "named-range"):
+        name, ref = _attr(n, "name") or "", _attr(n, "cell-range-address") or ""
+        sheet = ref.rpartition(":")[0].partition(".")[0].strip("$'") if ":" in ref else ref.partition(".")[0].strip("$'")
+        if sheet in out and name not in ODS_OWN_NAMES and not name.startswith("_") and (r := _range(ref)):
+            out[sheet].names.append((name, *r))
+    return list(out.values())
+
+
 def _sheet(data: bytes, ext: str) -> Loaded:
+    marks = None
     if data[:8] == compound.MAGIC:
         sheets = old_workbook(data, _shown)
     else:
         package = _Package(data)
-        sheets = _ods(package) if ext == "ods" else _xlsx(package) if "xl/workbook.bin" not in package.names else binary_package(package, _shown)
+        if ext == "ods":
+            sheets, marks = _ods(package), _ods_marks(package)
+        elif "xl/workbook.bin" in package.names:
+            sheets = binary_package(package, _shown)
+        else:
+            sheets, marks = _xlsx(package), _xlsx_marks(package)
     parts = []
     for name, rows in sheets:
         header, body = grid.sheet_header(rows)
         parts.append(f"## {name}\n\n{grid.table_markdown(header, body)}".strip())
-    return Loaded(replace(MD, name=ext), sheets=sheets, text="\n\n---\n\n".join(parts))
+    return Loaded(replace(MD, name=ext), sheets=sheets, marks=marks, text="\n\n---\n\n".join(parts))
 
 
 def _odf(data: bytes, ext: str) -> Loaded:

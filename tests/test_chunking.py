@@ -148,7 +148,7 @@ def test_sheets():
     sheets = [("Summary", rows), ("Region", [["Region", "Manager"], ["West", "Avery"], ["East", "Jordan"]])]
     out = grid.sheet_chunks(sheets)
     assert [c["content"] for c in out][:2] == ["Revenue: 42000 | Units: 18 | Quarter: Q3", "Revenue: 38000 | Units: 15 | Quarter: Q4"]
-    assert [c["metadata"]["row_start"] for c in grid.sheet_chunks(sheets[:1], "table")] == [2, 5]
+    assert [(c["metadata"]["start_row"], c["metadata"]["end_row"]) for c in grid.sheet_chunks(sheets[:1], "table")] == [(2, 2), (5, 5)]
     assert grid.regions(rows) == [(1, 2, 0, 2), (4, 5, 0, 2)]
     with pytest.raises(ValueError, match="sheet"):
         grid.sheet_chunks(sheets, sheet_names=["None"])
