@@ -337,12 +337,58 @@ def _docx(data: bytes) -> Loaded:
     return Loaded(replace(MD, name="docx"), word_blocks(found), text=word_markdown(found), word=found)
 
 
+def _diagram(root) -> list[str]:
+    """Paragraphs of a diagram's points, without those that only arrange it."""
+    points = [x for x in _all(root, "pt") if x.get("type") in (None, "node", "asst", "doc")]
+    return [s for x in points for t in x if _local(t) == "t" for q in _all(t, "p") if (s := "".join(r.text or "" for r in _all(q, "t")).strip())]
+
+
+def _decimal(v: str) -> str:
+    """A number with up to six decimals; other texts as they are."""
+    try:
+        x = float(v)
+    except ValueError:
+        return v
+    return v if x != x or abs(x) == float("inf") else (f"{x:.6f}".rstrip("0").rstrip(".") if round(x, 6) else "0")
+
+
+def _chart(root) -> list[list[str]]:
+    """A chart's stored values: a row of `Category` and the names of its series, then a row for each category."""
+
+    def points(e, *names: str) -> dict[int, str]:
+        found = next((x for x in e if _local(x) in names), None)
+        return {int(q.get("idx") or 0): next((v.text or "" for v in _all(q, "v")), "").strip() for q in _all(found, "pt")} if found is not None else {}
+
+    series = list(_all(root, "ser"))
+    values = [points(s, "val", "yVal") for s in series]
+    if not any(values):
+        return []
+    labels: dict[int, str] = {}
+    for s in series:
+        labels = points(s, "cat", "xVal") | labels
+    labels = labels or {i: str(i + 1) for i in range(max(i for v in values for i in v) + 1)}
+    names = []
+    for s in series:
+        tx = next((x for x in s if _local(x) == "tx"), None)
+        names.append(next((v.text for v in _all(tx, "v")), None) if tx is not None else None)
+    head = [f"Series {n}" if not x else f"{x} ({n})" if names.count(x) > 1 else x for n, x in enumerate(names, 1)]
+    return [["Category", *head], *([label, *(_decimal(v.get(i, "")) for v in values)] for i, label in sorted(labels.items()))]
+
+
+def _deck_sections(deck) -> dict[int, str]:
+    """Name of the section of a slide, by its place in the deck."""
+    own = next(_all(deck, "sldIdLst"), ())
+    place = {x.get("id"): n for n, x in enumerate(own)}
+    return {place[x.get("id")]: s.get("name") or "" for s in _all(deck, "section") for x in _all(s, "sldId") if x.get("id") in place}
+
+
 def _pptx(data: bytes) -> Loaded:
     package = _Package(data)
     deck, links = package.xml("ppt/presentation.xml"), package.related("ppt/presentation.xml")
     if deck is None:
         raise ParseError("ppt/presentation.xml is missing")
     slides = [links[i] for x in _all(deck, "sldId") if (i := next((v for k, v in x.attrib.items() if k.endswith("}id")), None)) in links]
+    sections = _deck_sections(deck)
     blocks, starts = [], []
     lines = lambda shape: [t for p in _all(shape, "p") if (t := " ".join(x for x in ((r.text or "").strip() for r in _all(p, "t")) if x))]
     for n, part in enumerate(slides, 1):
@@ -364,9 +410,16 @@ def _pptx(data: bytes) -> Loaded:
                 rows = [[" ".join(lines(c)) for c in r if _local(c) == "tc"] for r in _all(shape, "tr")]
                 if rows := [" | ".join(r) for r in rows if any(r)]:
                     body.append(("table", "\n".join(rows)))
-        notes = next((package.xml(t) for t in package.related(part).values() if "notesSlide" in t), None)
+        near = package.related(part)
+        for shape in slide.iter() if slide is not None else ():
+            if _local(shape) == "relIds" and (drawn := package.xml(near.get(_attr(shape, "dm") or "", ""))) is not None:
+                body += [("text", t) for t in _diagram(drawn)]
+        for shape in slide.iter() if slide is not None else ():
+            if _local(shape) == "chart" and (drawn := package.xml(near.get(_attr(shape, "id") or "", ""))) is not None and (rows := _chart(drawn)):
+                body += [("text", "Chart"), ("table", "\n".join(" | ".join(r) for r in rows))]
+        notes = next((package.xml(t) for t in near.values() if "notesSlide" in t), None)
         noted = "\n".join(t for s in _all(notes, "sp") if any(_attr(x, "type") == "body" for x in _all(s, "ph")) for t in lines(s)) if notes is not None else ""
-        starts.append((len(blocks), {"slide_range": [n, n], "slide_count": 1, "slide_title": title}))
+        starts.append((len(blocks), {"slide_number": n, "slide_range": [n, n], "slide_count": 1, "slide_title": title} | ({"section_heading": sections.get(n - 1)} if sections else {})))
         blocks.append(Block("heading", title or f"Slide {n}", 2, title or f"Slide {n}"))
         blocks += [Block("table" if kind == "table" else prose.prose_type(x), x) for kind, text in body for x in prose.pack_text(text, prose.PROSE_MAX)]
         if noted:

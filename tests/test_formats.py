@@ -45,6 +45,19 @@ def pptx() -> bytes:
     return package(**{"ppt/presentation.xml": deck, "ppt/_rels/presentation.xml.rels": REL.format('<Relationship Id="r1" Target="slides/slide1.xml"/>'), "ppt/slides/slide1.xml": slide})
 
 
+def test_diagrams_charts_and_sections_of_decks():
+    rel = lambda **t: REL.format("".join(f'<Relationship Id="{k}" Target="{v}"/>' for k, v in t.items()))
+    slide = f'<p:sld {A} xmlns:dgm="d" xmlns:c="c"><p:graphicFrame><dgm:relIds r:dm="r1" r:lo="r9"/></p:graphicFrame><p:graphicFrame><c:chart r:id="r2"/></p:graphicFrame></p:sld>'
+    pts = lambda tag, **v: f"<c:{tag}><c:x>" + "".join(f'<c:pt idx="{k[1:]}"><c:v>{x}</c:v></c:pt>' for k, x in v.items()) + f"</c:x></c:{tag}>"
+    chart = f'<c:chartSpace xmlns:c="c"><c:ser>{pts("tx", i0="R&amp;D")}{pts("cat", i0="2020", i1="2021")}{pts("val", i0="8.200000000000001", i1="3")}</c:ser><c:ser>{pts("tx", i0="R&amp;D")}{pts("val", i1="-0.0000001")}</c:ser><c:ser>{pts("val")}</c:ser></c:chartSpace>'
+    diagram = f'<dgm:dataModel xmlns:dgm="d" {A}><dgm:pt><dgm:t><a:p><a:r><a:t>First </a:t></a:r><a:r><a:t>step</a:t></a:r></a:p></dgm:t></dgm:pt><dgm:pt type="pres"><dgm:t><a:p><a:r><a:t>shape</a:t></a:r></a:p></dgm:t></dgm:pt></dgm:dataModel>'
+    deck = f'<p:presentation {A}><p:sldIdLst><p:sldId id="256" r:id="r1"/><p:sldId id="257" r:id="r2"/></p:sldIdLst><p:sectionLst><p:section name="Intro"><p:sldIdLst><p:sldId id="257"/></p:sldIdLst></p:section></p:sectionLst></p:presentation>'
+    parts = {"ppt/presentation.xml": deck, "ppt/_rels/presentation.xml.rels": rel(r1="slides/slide1.xml", r2="slides/slide2.xml"), "ppt/slides/slide1.xml": f"<p:sld {A}/>", "ppt/slides/slide2.xml": slide}
+    doc = load("a.pptx", package(**parts, **{"ppt/slides/_rels/slide2.xml.rels": rel(r1="../diagrams/data1.xml", r2="../charts/chart1.xml"), "ppt/diagrams/data1.xml": diagram, "ppt/charts/chart1.xml": chart}))
+    assert [b.content for b in doc.blocks] == ["Slide 1", "Slide 2", "First step", "Chart", "Category | R&D (1) | R&D (2) | Series 3\n2020 | 8.2 |  | \n2021 | 3 | 0 | "]
+    assert [(f["slide_number"], f["section_heading"]) for _, f in doc.starts] == [(1, None), (2, "Intro")]
+
+
 def odt() -> bytes:
     ns = 'xmlns:office="o" xmlns:text="t" xmlns:table="b"'
     body = '<text:h text:outline-level="2">Head</text:h><text:p>Words here.</text:p><text:list><text:list-item><text:p>item</text:p></text:list-item></text:list><table:table table:name="T"><table:table-row><table:table-cell><text:p>c</text:p></table:table-cell></table:table-row></table:table>'
