@@ -177,7 +177,7 @@ def _true_pairs(percent: int):
 
 
 def _by_group(solve):
-    """Rows (g, p, q, id, x, n, salt), sorted by the first three, to pairs of ids: a forest of each group's pairs."""
+    """Rows (g, p, q, id, x, n, salt), sorted by the first four, to pairs of ids: a forest of each group's pairs."""
 
     def pairs(held: list, g: tuple) -> tuple[list, list]:
         found = solve(g[1], g[2], held)
@@ -205,14 +205,15 @@ def _by_group(solve):
 def _in_blocks(rows: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
     """rows (g, id, x, n) once for each pair of blocks of their group that they are in (sizes: g, blocks; others have one).
 
-    A large group meets in no task: its rows learn their number of blocks from a broadcast before they are dealt.
+    A large group meets in no task: its rows learn their number of blocks from a broadcast before they are dealt. Rows of
+    a block come in the order of their ids, so that a task that runs again finds the same forest.
     """
     large = cut(sizes.where("blocks > 1").select("g", "blocks"))
     looked = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
     known = rows.join(looked, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = known.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("g", F.least("salt", "other").alias("p"), F.greatest("salt", "other").alias("q"), "id", "x", "n", "salt")
-    return dealt.repartition(n, "g", "p", "q").sortWithinPartitions("g", "p", "q")
+    return dealt.repartition(n, "g", "p", "q").sortWithinPartitions("g", "p", "q", "id")
 
 
 def _sets(k: int):
@@ -234,7 +235,8 @@ def components(links: DataFrame) -> DataFrame:
     links are then drawn between the places moved to. A round leaves at most half of the ids, so all rounds together
     read and write a small multiple of the links. The rounds' moves are joined at the end, the last and smallest first.
     """
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # a union would compute links twice
+    edges = cut(links.where("a <> b").select(F.inline(both)).distinct())
     moves: list[DataFrame] = []
     place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     while not edges.isEmpty():

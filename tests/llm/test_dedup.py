@@ -144,6 +144,35 @@ def test_many_near_copies_in_small_blocks(spark, monkeypatch):
     assert [r["doc_id"] for r in near_dedup.without_near_duplicates(docs).collect()] == [0]
 
 
+def test_links_that_are_another_forest_each_time_they_are_computed(spark):
+    def forests(batches):
+        r = np.random.default_rng()
+        for batch in batches:
+            for g in batch.column(0).to_pylist():
+                ids = g * 100 + r.permutation(25)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[1:]), pa.array([int(ids[r.integers(0, i)]) for i in range(1, 25)])], names=["a", "b"])
+
+    found = near_dedup.components(spark.range(40).mapInArrow(forests, "a long, b long")).collect()
+    assert sorted(x["id"] for x in found) == [g * 100 + i for g in range(40) for i in range(25)]
+    assert all(x["comp"] // 100 == x["id"] // 100 for x in found) and len({x["comp"] for x in found}) == 40
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_a_forest_does_not_depend_on_the_order_in_which_rows_arrive(spark, blocks):
+    r = np.random.default_rng(12)
+    rows = []
+    for g in range(6):
+        base = r.integers(1, 2**63, 200, dtype=np.uint64)
+        rows += [(g, g * 100 + i, np.sort(np.concatenate([base[10:], r.integers(1, 2**63, 10, dtype=np.uint64)])).tobytes(), 200) for i in range(20)]
+    sizes = spark.createDataFrame([(g, blocks) for g in range(6)], "g long, blocks int")
+
+    def forest(given):
+        dealt = near_dedup._in_blocks(spark.createDataFrame(given, "g long, id long, x binary, n long").coalesce(1), sizes, 3)
+        return sorted(tuple(x) for x in dealt.mapInArrow(near_dedup._true_pairs(80), "a long, b long").collect())
+
+    assert forest(rows) == forest(rows[::-1]) == forest([rows[i] for i in r.permutation(len(rows))])
+
+
 def test_pairs_at_the_threshold_are_under_the_signature_distance():
     """Recall of the signatures: 4000 pairs of sets at a similarity of exactly 0.8."""
     r = np.random.default_rng(8)
