@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .words import BREAKS, NOT_IN_TXT, PROSE_MAX, SIGNALS, STOP_WORDS
 
+PHRASES = [p for phrases in (BREAKS, *SIGNALS.values()) for p in phrases]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,15 +82,29 @@ def keyword_density(c: Column) -> Column:
 
 
 def starts_with_any(c: Column, phrases: list[str]) -> Column:
-    low = lower_ascii(c)
-    return F.coalesce(F.array_max(F.transform(F.array(*[F.lit(p) for p in phrases]), lambda p: low.startswith(p))), F.lit(False))
+    """Whether c opens with a phrase; only as much of c as the longest has is looked at."""
+    return _opens(opening(c, phrases), phrases)
+
+
+def opening(c: Column, phrases: list[str] = PHRASES) -> Column:
+    """As many characters of c as the longest phrase has, in lower case."""
+    return lower_ascii(F.substring(c, 1, max(map(len, phrases), default=0)))
+
+
+def _opens(low: Column, phrases: list[str]) -> Column:
+    return F.coalesce(low.rlike(f"^(?:{'|'.join(map(re.escape, phrases))})") if phrases else F.lit(False), F.lit(False))
 
 
 def signal(c: Column, txt: bool = True) -> Column:
     """What the opening of a paragraph says: `break`, one of SIGNALS, or null."""
-    found = F.when(starts_with_any(c, BREAKS), "break")
+    return opening_signal(opening(c), txt)
+
+
+def opening_signal(low: Column, txt: bool = True) -> Column:
+    """The same of an opening."""
+    found = F.when(_opens(low, BREAKS), "break")
     for reason, phrases in SIGNALS.items():
-        found = found.when(starts_with_any(c, [p for p in phrases if not (txt and p in NOT_IN_TXT)]), reason)
+        found = found.when(_opens(low, [p for p in phrases if not (txt and p in NOT_IN_TXT)]), reason)
     return found
 
 

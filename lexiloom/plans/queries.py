@@ -59,8 +59,8 @@ def prose_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = _exploded(_texts(spark, sf_dir), T.lines(F.col("text")), "line")
-    return placed.select("doc_id", "pos", T.signal(F.col("line")).alias("signal")).where("signal is not null")
+    placed = _exploded(_texts(spark, sf_dir), F.transform(T.lines(F.col("text")), lambda x: T.opening(x)), "low")
+    return placed.select("doc_id", "pos", T.opening_signal(F.col("low")).alias("signal")).where("signal is not null")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

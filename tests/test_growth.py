@@ -1,9 +1,15 @@
 """Work that must not grow with more than the input."""
 
 import json
+import re
 
+from lexiloom.functions import text as T
+from lexiloom.functions.words import BREAKS, SIGNALS
 from lexiloom.operators import markup
 from lexiloom.operators.fit import fit_chunks, fit_tokens
+from lexiloom.operators.prose import _opening
+from lexiloom.plans.queries import QUERIES
+from pyspark.sql import functions as F
 
 
 def words(s):
@@ -37,3 +43,19 @@ def test_long_lines_are_no_titles_unread():
 
     assert not markup._shouted(Line("A" * 81))
     assert markup._shouted("A TITLE") and not markup._shouted("Å" * 41) and markup._shouted("Å" * 40)
+
+
+def test_signal_reads_only_the_opening(spark):
+    plan = QUERIES["signal_prefix"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(substring(" in plan
+    assert not re.search(r"translate\((?!substring\()", plan)
+
+
+def test_signal_equals_the_openings_of_paragraphs(spark):
+    ends = ["", " x" * 40, "\n", "İ", "😀 it "]
+    lines = [f"{f(p)}{e}" for phrases in (BREAKS, *SIGNALS.values()) for p in phrases for f in (str, str.upper, lambda p: p[:-1], lambda p: f"x{p}") for e in ends]
+    lines += ["", "İt is", "It is", "e.g. x", "exgx", "i.e.", "such as x", "While this", "x\nhowever", "😀however", None]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    for txt in (True, False):
+        got = {r.line: r.signal for r in df.select("line", T.signal(F.col("line"), txt).alias("signal")).collect()}
+        assert got == {x: _opening(x, txt) if x else None for x in lines}
