@@ -5,7 +5,7 @@ import re
 
 from lexiloom.functions import text as T
 from lexiloom.functions.words import BREAKS, SIGNALS
-from lexiloom.operators import markup
+from lexiloom.operators import markup, prose
 from lexiloom.operators.fit import fit_chunks, fit_tokens
 from lexiloom.operators.prose import _opening
 from lexiloom.plans.queries import QUERIES
@@ -59,3 +59,22 @@ def test_signal_equals_the_openings_of_paragraphs(spark):
     for txt in (True, False):
         got = {r.line: r.signal for r in df.select("line", T.signal(F.col("line"), txt).alias("signal")).collect()}
         assert got == {x: _opening(x, txt) if x else None for x in lines}
+
+
+def test_semantic_reads_the_words_of_a_paragraph_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(prose, "keywords", lambda text, f=prose.keywords: seen.append(text) or f(text))
+    blocks = [prose.Block("plain_paragraph", f"Paragraph {i} speaks about gardens and rivers, " + f"number{i} " * 12) for i in range(9)]
+    chunks = prose.semantic(blocks, prose.TXT)
+    assert chunks[0]["metadata"]["primary_merge_reason"] == "keyword_overlap"
+    assert len(seen) == len(blocks)
+
+
+def test_keywords_lower_ascii_only():
+    assert prose.keywords("Gardens GARDENS the İstanbul Kelvin abc ab-cdef éclair") == {"gardens", "stanbul", "elvin", "cdef", "clair"}
+
+
+def test_semantic_sizes_under_headings_that_merge():
+    blocks = [prose.Block("heading", "Überschrift", 1), *(prose.Block("plain_paragraph", "It " + "é" * n) for n in (350, 420, 5))]
+    chunks = prose.semantic(blocks, prose.HTML)
+    assert [c["metadata"]["paragraph_count"] for c in chunks] == [2, 2]
