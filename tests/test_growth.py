@@ -78,3 +78,18 @@ def test_semantic_sizes_under_headings_that_merge():
     blocks = [prose.Block("heading", "Überschrift", 1), *(prose.Block("plain_paragraph", "It " + "é" * n) for n in (350, 420, 5))]
     chunks = prose.semantic(blocks, prose.HTML)
     assert [c["metadata"]["paragraph_count"] for c in chunks] == [2, 2]
+
+
+def test_plain_leaves_text_without_marks_unread(monkeypatch):
+    seen = []
+    monkeypatch.setattr(markup.re, "sub", lambda *a, f=re.sub, **k: seen.append(a) or f(*a, **k))
+    text = "Plain words (in brackets), a - dash, #7 and 3 > 2!"
+    assert markup.plain(text) == text
+    assert not seen
+
+
+def test_plain_strips_each_mark():
+    marked = r"![i](u) [t](v) x[^1] <https://a.b> <b>c</b> `d` **e** __f__ ~~g~~ *h* _i_ \* snake_case_word"
+    assert markup.plain(marked) == "[Image: i] t x https://a.b c d e f g h i * snake_case_word"
+    for part, want in (("![i](u)", "[Image: i]"), ("[t](v)", "t"), ("x[^1]", "x"), ("<https://a.b>", "https://a.b"), ("<b>c</b>", "c"), ("`d`", "d"), ("**e**", "e"), ("__f__", "f"), ("~~g~~", "g"), ("*h*", "h"), ("_i_", "i"), (r"\*", "*")):
+        assert markup.plain(part) == want
