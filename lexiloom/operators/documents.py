@@ -98,32 +98,36 @@ def _per_file(files: DataFrame, key: str, data: str, name: str, fn, fields: list
     """fn(bytes, name) gives rows of fields; a file that can't be read gives one row with parse_error."""
     source = spread(files.select(F.col(key).alias("k"), F.col(data).cast("binary").alias("d"), F.col(name).alias("n")))
 
-    def run(batches):
-        for batch in batches:
-            rows: list[tuple] = []
-            at: list[int] = []
-            errors: list[str | None] = []
-            held = 0
-
-            def out(batch=batch):
-                columns = [pa.array(v, t) for v, (_, t, _) in zip(zip(*rows, strict=True), fields, strict=True)]  # noqa: B023
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns, pa.array(errors, pa.string())], names=[key, *(f for f, _, _ in fields), "parse_error"])  # noqa: B023
-
-            for i in range(batch.num_rows):  # one file parsed at a time
-                raw, file = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                try:
-                    found, error = fn(raw or b"", file or ""), None
-                except Exception as e:  # noqa: BLE001  a broken file must not end the job
-                    found, error = [(None,) * len(fields)], f"{type(e).__name__}: {e}"
-                rows += found
-                at += [i] * len(found)
-                errors += [error] * len(found)
-                held += len(raw or b"")
-                if held > BATCH_CHARS and rows:
-                    yield out()
-                    rows, at, errors, held = [], [], [], 0
-            if rows:
+    def parsed(batch):
+        rows: list[tuple] = []
+        at: list[int] = []
+        errors: list[str | None] = []
+        held = 0
+
+        def out():
+            columns = [pa.array(v, t) for v, (_, t, _) in zip(zip(*rows, strict=True), fields, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns, pa.array(errors, pa.string())], names=[key, *(f for f, _, _ in fields), "parse_error"])
+
+        for i in range(batch.num_rows):  # one file parsed at a time
+            raw, file = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+            try:
+                found, error = fn(raw or b"", file or ""), None
+            except Exception as e:  # noqa: BLE001  a broken file must not end the job
+                found, error = [(None,) * len(fields)], f"{type(e).__name__}: {e}"
+            rows += found
+            at += [i] * len(found)
+            errors += [error] * len(found)
+            held += sum(len(v) for row in found for v in row if isinstance(v, str))
+            if held > BATCH_CHARS:
                 yield out()
+                rows, at, errors, held = [], [], [], 0
+        if rows:
+            yield out()
+
+    def run(batches):
+        for parts in map(parsed, batches):  # a batch is let go before the next is read
+            yield from parts
+            pa.default_memory_pool().release_unused()
 
     kind = source.schema["k"].dataType.simpleString()
     return source.mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{f} {t}" for f, _, t in fields), "parse_error string"]))

@@ -2,10 +2,12 @@
 
 import json
 import re
+import weakref
 
+import pyarrow as pa
 from lexiloom.functions import text as T
 from lexiloom.functions.words import BREAKS, SIGNALS
-from lexiloom.operators import markup, prose
+from lexiloom.operators import documents, markup, prose
 from lexiloom.operators.fit import fit_chunks, fit_tokens
 from lexiloom.operators.prose import _opening
 from lexiloom.plans.queries import QUERIES
@@ -93,3 +95,27 @@ def test_plain_strips_each_mark():
     assert markup.plain(marked) == "[Image: i] t x https://a.b c d e f g h i * snake_case_word"
     for part, want in (("![i](u)", "[Image: i]"), ("[t](v)", "t"), ("x[^1]", "x"), ("<https://a.b>", "https://a.b"), ("<b>c</b>", "c"), ("`d`", "d"), ("**e**", "e"), ("__f__", "f"), ("~~g~~", "g"), ("*h*", "h"), ("_i_", "i"), (r"\*", "*")):
         assert markup.plain(part) == want
+
+
+def test_batches_are_let_go_and_output_is_sent_on_by_its_own_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    got, seen = [], []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, fn, schema: got.append(fn))
+    documents.chunk_texts(docs, "sentence")
+
+    def batch(i):
+        made = pa.RecordBatch.from_arrays([pa.array([i] * 40), pa.array([b"Red. " * 2000] * 40), pa.array(["x.txt"] * 40)], names=["k", "d", "n"])
+        seen.append(weakref.ref(made))
+        return made
+
+    def batches():
+        for i in range(3):
+            assert not seen or seen[-1]() is None
+            yield batch(i)
+
+    rows, sizes = 0, []
+    for out in got[0](batches()):
+        rows += out.num_rows
+        sizes.append(sum(len(x) for c in ("content_type", "content", "metadata") for x in out.column(c).to_pylist()))
+    assert rows == 3 * 40 * 667
+    assert max(sizes) < documents.BATCH_CHARS + (1 << 20) < sum(sizes) / 3
